@@ -1,9 +1,15 @@
 """The queries of this subpackage and, where SQL can express them, their oracles."""
 
-from . import secrets
+from . import chat, mixing, secrets, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
+    "op3_source_mix": mixing.query,
+    "op5_url_filter": urls.query,
+    "op9_chat_format": chat.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_url_filter": urls.SQL,
+    "op9_chat_format": chat.SQL,
+}
