@@ -1,15 +1,18 @@
 """The queries of this subpackage and, where SQL can express them, their oracles."""
 
-from . import chat, mixing, secrets, urls
+from . import chat, lines, mixing, secrets, simhash, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
     "op3_source_mix": mixing.query,
+    "op4_line_dedup": lines.query,
     "op5_url_filter": urls.query,
+    "op7_simhash": simhash.query,
     "op9_chat_format": chat.query,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_line_dedup": lines.SQL,
     "op5_url_filter": urls.SQL,
     "op9_chat_format": chat.SQL,
 }
