@@ -1,12 +1,13 @@
 """The queries of this subpackage and, where SQL can express them, their oracles."""
 
-from . import chat, lines, mixing, secrets, simhash, urls
+from . import chat, fingerprint, lines, mixing, secrets, simhash, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
     "op3_source_mix": mixing.query,
     "op4_line_dedup": lines.query,
     "op5_url_filter": urls.query,
+    "op6_fingerprint": fingerprint.query,
     "op7_simhash": simhash.query,
     "op9_chat_format": chat.query,
 }
