@@ -1,9 +1,10 @@
 """The queries of this subpackage and, where SQL can express them, their oracles."""
 
-from . import chat, fingerprint, lines, mixing, secrets, simhash, urls
+from . import chat, fingerprint, language, lines, mixing, secrets, simhash, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
+    "op2_language_id": language.query,
     "op3_source_mix": mixing.query,
     "op4_line_dedup": lines.query,
     "op5_url_filter": urls.query,
