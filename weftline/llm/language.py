@@ -111,7 +111,7 @@ class Model:
                 total[owner[starts], j] = np.add.reduceat(logs[:, j][codes].astype(np.float64), starts)
         return n, -total / np.maximum(n, 1)[:, None]
 
-    def predict(self, texts: list[str], slack: float = 0.6, spread: float = 6.0) -> pd.DataFrame:
+    def predict(self, texts: list[str], slack: float = 1.2, spread: float = 6.0) -> pd.DataFrame:
         """lang, score (the posterior at a temperature that grows with the root of the length), accepted."""
         n, h = self.entropies(texts)
         best = h.argmin(axis=1)

@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their oracles."""
 
-from . import chat, fingerprint, language, lines, mixing, secrets, simhash, urls
+from . import chat, fingerprint, language, lines, mixing, secrets, simhash, tokens, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_fingerprint": fingerprint.query,
     "op7_simhash": simhash.query,
     "op9_chat_format": chat.query,
+    "op10_token_output": tokens.query,
 }
 
 ORACLES: dict[str, str] = {
