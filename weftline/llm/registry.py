@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their oracles."""
 
-from . import chat, fingerprint, language, lines, mixing, secrets, simhash, tokens, urls
+from . import chat, decontaminate, fingerprint, language, lines, mixing, secrets, simhash, tokens, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_url_filter": urls.query,
     "op6_fingerprint": fingerprint.query,
     "op7_simhash": simhash.query,
+    "op8_decontaminate": decontaminate.query,
     "op9_chat_format": chat.query,
     "op10_token_output": tokens.query,
 }
