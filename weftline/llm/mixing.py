@@ -57,8 +57,8 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), sh
     return s.withColumn("target", F.when(capped, F.col("_ceiling")).otherwise(F.col("_free._level") * F.col("_w"))).drop("_w", "_ceiling", "_at", "_level", "_free")
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", keep: tuple[str, ...] = (), block: int = 16, seed: int = 17, share: float = 1.5, cap: int = 2, weights: tuple[float, ...] = (3.0, 1.0, 2.0)) -> DataFrame:
-    """key, the columns of keep, and size, source_size, target, taken of each row of docs.
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", keep: bool = False, block: int = 16, seed: int = 17, share: float = 1.5, cap: int = 2, weights: tuple[float, ...] = (3.0, 1.0, 2.0)) -> DataFrame:
+    """key, size, source_size, target, taken of each row of docs; with keep, also the row itself as a struct, ``row``.
 
     block: words a block. taken is at most cap * size. Without keep, only ids, sources and sizes are shuffled."""
     rows = docs.select(
@@ -67,7 +67,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
         F.when(F.col(source).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(source))).alias("_cell"),
         words(F.col(text)).alias("_size"),
         F.xxhash64(F.lit(seed), F.col(key).cast("string"), *([] if keep else [F.length(text)])).alias("_order"),
-        *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)],
+        *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if keep else []),
     )
     if not keep:
         rows = materialise(rows, "sizes")
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
 
     taken = sum((overlap(e, w) for e in range(cap) for w in (0, 1)), F.lit(0))
     placed = placed.withColumns({"_ring": ring, "_length": length, "_start": start})
-    return placed.select(F.col("_key").alias(key), *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)], F.col("_size").alias("size"), "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"))
+    return placed.select(F.col("_key").alias(key), *(["row"] if keep else []), F.col("_size").alias("size"), "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

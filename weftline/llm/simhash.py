@@ -144,14 +144,15 @@ def links(prints: DataFrame, radius: int = 3, seed: int = 7, large: int = 4096)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(key, fp, component): component is the smallest key in reach. Only ids and fingerprints are shuffled."""
+    """(key, fp, label, component): label is the same throughout a group, component its smallest key. Only ids and fingerprints
+    are shuffled."""
     prints = materialise(with_fingerprint(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", shingle, seed).select("key", "fp"), "prints")
     distinct = materialise(prints.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
     nodes = connected_components(links(distinct.select("fp"), radius), "u", "v")
     labelled = distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("label"))
     labelled = materialise(labelled, "labels")
-    named = labelled.join(labelled.groupBy("label").agg(F.min("least").alias("component")), "label").select("fp", "component")
-    return prints.join(named, "fp").select(F.col("key").alias(key), "fp", "component")
+    named = labelled.join(labelled.groupBy("label").agg(F.min("least").alias("component")), "label").select("fp", "label", "component")
+    return prints.join(named, "fp").select(F.col("key").alias(key), "fp", "label", "component")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
