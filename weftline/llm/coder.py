@@ -2,11 +2,12 @@
 
 An id is coded under a mixture of three predictions: the id last seen after the same two ids (order 2), the id last seen
 after the same one (order 1), and an order-0 distribution. The weights of orders 2 and 1 adapt to how often predictions
-of like confidence came true. Order 0 counts classes of 128 neighbouring ids and is renewed every RENEW ids; ids in a
-class are alike. A carryless 64-bit range coder emits 16-bit words.
+of like confidence came true. Order 0 counts classes of 256 neighbouring ids and is renewed every RENEW ids; ids in a
+class are alike. A carryless 64-bit range coder emits 32-bit words.
 
 Blocks are coded on their own: all state is reset at a block's start, and a block carries its length and a checksum.
-Many blocks are coded side by side, one per lane of the same array operations, for encoding and decoding alike.
+Many blocks are coded side by side, one per lane of the same array operations, for encoding and decoding alike: an id
+costs a fixed number of operations on whole lanes, without branches but for the words that leave or enter.
 """
 
 from __future__ import annotations
@@ -17,182 +18,165 @@ import zlib
 import numpy as np
 
 U = np.uint64
-TOP, BOTTOM, WORD = U(1 << 48), U(1 << 32), U(16)
-SLOT_BITS, CLASS_BITS, TOTAL_BITS, WEIGHT_BITS, RENEW = 11, 7, 14, 12, 128
+SETTLED, SHIFT, LEAST = U(1 << 32), U(32), U(1 << 31)
+# slots of a context table; ids of a class; units of the order-0 distribution; parts that the weights count in
+SLOT_BITS, CLASS_BITS, UNIT_BITS, WEIGHT_BITS, RENEW = 9, 8, 11, 12, 256
+TOTAL_BITS = WEIGHT_BITS + 12
+ORDER0_BITS = UNIT_BITS + CLASS_BITS
+#: Parts that order 0 keeps at least: its scale is then one or more.
+ORDER0_LEAST = 1 << ORDER0_BITS - 12
 HEAD = struct.Struct("<II")  # ids, crc32 of the words
 
 
 class _Lanes:
-    """Model and coder state of blocks of equal or falling lengths."""
+    """Model and coder state of blocks of equal or falling lengths.
+
+    A context's entry holds an id and two bits of confidence."""
 
     def __init__(self, lanes: int, vocabulary: int):
         self.n, self.classes = lanes, (vocabulary - 1 >> CLASS_BITS) + 1
-        self.lane = np.arange(lanes)
+        if self.classes > 1 << UNIT_BITS - 1:
+            raise ValueError(f"at most {1 << UNIT_BITS - 1 + CLASS_BITS} ids")
+        self.lane = np.arange(lanes, dtype=np.int32)
         self.low, self.range = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
-        slots = lanes << SLOT_BITS
-        self.said = [np.zeros(slots, np.int32) for _ in range(2)]  # order 1, order 2
-        self.trust = [np.zeros(slots, np.int8) for _ in range(2)]
-        self.weight = [np.tile(np.array([16, 1200, 2400, 3300], np.int32), lanes) for _ in range(2)]
-        self.before = [np.zeros(lanes, np.int64) for _ in range(2)]  # the last id and the one before
-        prior = np.maximum(1, 256 // (np.arange(self.classes) + 4))
-        self.count = np.tile(prior.astype(np.int32), (lanes, 1))
-        self.steps = (self.classes - 1).bit_length()
+        self.entry = [np.zeros(lanes << SLOT_BITS, np.int32) for _ in range(2)]  # order 1, order 2
+        self.weight = [np.tile(np.array([8, 900, 2200, 3400], np.int32), lanes) for _ in range(2)]
+        self.before = [np.zeros(lanes, np.int32) for _ in range(2)]  # the last id and the one before
+        self.count = np.tile(np.maximum(1, 512 // (np.arange(self.classes) + 3)).astype(np.int32), (lanes, 1))
+        self.base, self.quad = self.lane << SLOT_BITS, self.lane << 2
+        self.row, self.unit_row = self.lane * self.classes, self.lane << UNIT_BITS
         self.renew()
 
     def renew(self) -> None:
-        total = self.count.sum(axis=1, dtype=np.int64, keepdims=True)
-        share = 1 + self.count.astype(np.int64) * ((1 << TOTAL_BITS) - self.classes) // total
-        share[:, 0] += (1 << TOTAL_BITS) - share.sum(axis=1)
-        self.cum = np.zeros((self.n, (1 << self.steps) + 1), np.int32)
-        self.cum[:, 1 : self.classes + 1] = np.cumsum(share, axis=1)
-        self.cum[:, self.classes + 1 :] = 1 << TOTAL_BITS
-        self.flat = self.cum.ravel()
-        heavy = total[:, 0] > 1 << 20
-        self.count[heavy] = (self.count[heavy] >> 1) + 1
+        """The order-0 distribution from the counts: whole units of each class, and the class of each unit."""
+        spare = (1 << UNIT_BITS) - self.classes
+        total = self.count.sum(axis=1, keepdims=True)
+        share = self.count * np.float32(spare) / total
+        units = share.astype(np.int32)
+        units[:, 0] += spare - units.sum(axis=1)
+        units += 1
+        self.units = units.ravel()
+        self.start = (np.cumsum(units, axis=1, dtype=np.int32) - units).ravel()
+        self.class_of = np.repeat(np.tile(np.arange(self.classes, dtype=np.int16), self.n), self.units)
+        self.tally = self.count.ravel()
+        if (total > 1 << 18).any():
+            self.count[:] = (self.count >> 1) + 1
 
     def predict(self, k: int) -> None:
-        """Predictions and weights for the next id of the first k lanes."""
+        """Predictions and weights for the next id of the first k lanes; where order 0 starts, and its scale."""
         a, b = self.before[0][:k], self.before[1][:k]
-        self.base = self.lane[:k] << SLOT_BITS
         mask = (1 << SLOT_BITS) - 1
-        self.at = [self.base + (a * 40503 >> 5 & mask), self.base + ((a * 40503 ^ b * 60493) >> 7 & mask)]
-        self.guess = [s[i] for s, i in zip(self.said, self.at, strict=True)]
-        self.level = [t[i] for t, i in zip(self.trust, self.at, strict=True)]
-        self.slot = [(self.lane[:k] << 2) + lv for lv in self.level]
-        w1, w2 = self.weight[0][self.slot[0]], self.weight[1][self.slot[1]]
+        h = a * np.int32(40503)
+        self.at = [self.base[:k] + (h >> 7 & mask), self.base[:k] + ((h ^ b * np.int32(24593)) >> 9 & mask)]
+        self.now = [e[i] for e, i in zip(self.entry, self.at, strict=True)]
+        self.guess = [e >> 2 for e in self.now]
+        self.slot = [self.quad[:k] + (e & 3) for e in self.now]
         whole = 1 << WEIGHT_BITS
-        self.w2 = np.clip(w2, 1, whole - 64)
-        self.w1 = np.clip((whole - self.w2) * w1 >> WEIGHT_BITS, 1, whole - self.w2 - 16)
-        self.w1[self.guess[0] == self.guess[1]] = 1
+        w2 = self.w2 = np.minimum(self.weight[1][self.slot[1]], whole - ORDER0_LEAST - 64)
+        w1 = (whole - w2) * self.weight[0][self.slot[0]] >> WEIGHT_BITS
+        w1 = np.where(self.guess[0] == self.guess[1], 1, w1)
+        self.w12 = w2 + np.clip(w1, 1, whole - ORDER0_LEAST - w2)
+        self.scale = whole - self.w12 >> ORDER0_BITS - 12
 
     def learn(self, ids: np.ndarray, k: int) -> None:
+        fresh = (ids << 2) + 1
         for j in (0, 1):
-            right, at, level = (self.guess[j] == ids) & (self.level[j] > 0), self.at[j], self.level[j]
-            weight = self.weight[j]
-            w = weight[self.slot[j]]
-            weight[self.slot[j]] = w + ((right.astype(np.int32) << WEIGHT_BITS) - w >> 5)
-            self.trust[j][at] = np.where(right, np.minimum(level + 1, 3), np.maximum(level - 1, 1))
-            self.said[j][at] = np.where(right | (level > 1), self.guess[j], ids)
+            now, weight, slot = self.now[j], self.weight[j], self.slot[j]
+            right, trust = self.guess[j] == ids, now & 3
+            w = weight[slot]
+            weight[slot] = w + ((right.astype(np.int32) << WEIGHT_BITS) - w >> 5) | 1
+            self.entry[j][self.at[j]] = np.where(right, now + (trust < 3), np.where(trust > 1, now - 1, fresh))
         self.before[1][:k] = self.before[0][:k]
         self.before[0][:k] = ids
-
-    def due(self, low: np.ndarray, rng: np.ndarray) -> np.ndarray:
-        return ((low ^ (low + rng)) < TOP) | (rng < BOTTOM)
+        self.tally[self.row[:k] + (ids >> CLASS_BITS)] += 24
+
+    def narrow(self, start: np.ndarray, size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Narrows the first k lanes' ranges; the lanes that have a word to shift."""
+        r = self.range[:k] >> U(TOTAL_BITS)
+        low = self.low[:k]
+        low += r * start.astype(U)
+        rng = self.range[:k]
+        np.multiply(r, size.astype(U), out=rng)
+        return low, rng, np.flatnonzero(((low ^ (low + rng)) < SETTLED) | (rng < LEAST))
+
+    @staticmethod
+    def shift(low: np.ndarray, rng: np.ndarray, todo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shifts a word out of the lanes of todo; their former low ends; the lanes that have one more."""
+        a, b = low[todo], rng[todo]
+        b = np.where((a ^ (a + b)) < SETTLED, b, (~a + U(1)) & (LEAST - U(1)))
+        c, b = a << SHIFT, b << SHIFT
+        low[todo], rng[todo] = c, b
+        return a, todo[((c ^ (c + b)) < SETTLED) | (b < LEAST)]
 
 
 class _Encoder(_Lanes):
-    def __init__(self, lanes: int, vocabulary: int, longest: int):
-        super().__init__(lanes, vocabulary)
-        self.out, self.pos = np.zeros((lanes, longest * 3 + 8), np.uint16), np.zeros(lanes, np.int64)
-
-    def put(self, at: np.ndarray | slice, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        r = self.range[at] >> U(bits)
-        low, rng = self.low[at] + r * start.astype(U), r * size.astype(U)
-        todo = np.flatnonzero(self.due(low, rng))
-        lanes = self.lane[at]
-        while len(todo):
-            a, b = low[todo], rng[todo]
-            b = np.where((a ^ (a + b)) < TOP, b, (~a + U(1)) & (BOTTOM - U(1)))
-            own = lanes[todo]
-            self.out[own, self.pos[own]] = (a >> U(48)).astype(np.uint16)
-            self.pos[own] += 1
-            low[todo], rng[todo] = a << WORD, b << WORD
-            todo = todo[self.due(low[todo], rng[todo])]
-        self.low[at], self.range[at] = low, rng
-
     def run(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-        for t in range(ids.shape[1]):
+        """ids: time-major (longest, lanes)."""
+        out, pos = np.zeros((self.n, len(ids) + len(ids) // 8 + 16), np.uint32), np.zeros(self.n, np.int64)
+        flat, row = out.ravel(), np.arange(self.n) * out.shape[1]
+        for t in range(len(ids)):
             k = int(np.count_nonzero(lengths > t))
             if t and t % RENEW == 0:
                 self.renew()
             self.predict(k)
-            now = ids[:k, t]
-            two = (self.guess[1] == now) & (self.level[1] > 0)
-            one = ~two & (self.guess[0] == now) & (self.level[0] > 0)
-            start = np.where(two, 0, np.where(one, self.w2, self.w2 + self.w1))
-            size = np.where(two, self.w2, np.where(one, self.w1, (1 << WEIGHT_BITS) - self.w2 - self.w1))
-            self.put(slice(0, k), start, size, WEIGHT_BITS)
-            miss = np.flatnonzero(~(two | one))
-            if len(miss):
-                cls = now[miss] >> CLASS_BITS
-                row = miss * self.cum.shape[1] + cls
-                start = self.flat[row]
-                size = self.flat[row + 1] - start
-                low_bits = now[miss] & (1 << CLASS_BITS) - 1
-                self.put(miss, (start.astype(np.int64) << CLASS_BITS) + low_bits * size, size, TOTAL_BITS + CLASS_BITS)
-                self.count[miss, cls] += 24
+            now = ids[t, :k]
+            two, one = self.guess[1] == now, self.guess[0] == now
+            cell = self.row[:k] + (now >> CLASS_BITS)
+            units = self.units[cell]
+            zero = (self.w12 << 12) + ((self.start[cell] << CLASS_BITS) + (now & (1 << CLASS_BITS) - 1) * units) * self.scale
+            start = np.where(two, 0, np.where(one, self.w2 << 12, zero))
+            size = np.where(two, self.w2 << 12, np.where(one, self.w12 - self.w2 << 12, units * self.scale))
+            low, rng, todo = self.narrow(start, size, k)
+            while len(todo):
+                lanes = todo
+                a, todo = self.shift(low, rng, todo)
+                flat[row[lanes] + pos[lanes]] = a >> SHIFT
+                pos[lanes] += 1
             self.learn(now, k)
-        for _ in range(4):
-            self.out[self.lane, self.pos] = (self.low >> U(48)).astype(np.uint16)
-            self.low <<= WORD
-            self.pos += 1
-        return [self.out[i, :n].tobytes() for i, n in enumerate(self.pos)]
+        for _ in range(2):
+            flat[row + pos] = self.low >> SHIFT
+            self.low <<= SHIFT
+            pos += 1
+        return [out[i, :n].tobytes() for i, n in enumerate(pos)]
 
 
 class _Decoder(_Lanes):
-    def __init__(self, blocks: list[bytes], vocabulary: int):
-        super().__init__(len(blocks), vocabulary)
-        words = [np.frombuffer(b, np.uint16) for b in blocks]
-        self.words = np.concatenate([*words, np.zeros(8, np.uint16)]).astype(U)
-        self.pos = np.cumsum([0] + [len(w) for w in words[:-1]])
-        self.code = np.zeros(self.n, U)
-        for _ in range(4):
-            self.code = (self.code << WORD) | self.words[self.pos]
-            self.pos += 1
-
-    def take(self, at: np.ndarray | slice, low: np.ndarray, rng: np.ndarray) -> None:
-        todo = np.flatnonzero(self.due(low, rng))
-        if len(todo):
-            code, lanes = self.code[at], self.lane[at]
-            while len(todo):
-                a, b = low[todo], rng[todo]
-                b = np.where((a ^ (a + b)) < TOP, b, (~a + U(1)) & (BOTTOM - U(1)))
-                own = lanes[todo]
-                code[todo] = (code[todo] << WORD) | self.words[self.pos[own]]
-                self.pos[own] += 1
-                low[todo], rng[todo] = a << WORD, b << WORD
-                todo = todo[self.due(low[todo], rng[todo])]
-            self.code[at] = code
-        self.low[at], self.range[at] = low, rng
-
-    def run(self, lengths: np.ndarray) -> np.ndarray:
-        ids = np.zeros((self.n, int(lengths.max())), np.int64)
-        wide = self.cum.shape[1]
-        for t in range(ids.shape[1]):
+    def run(self, blocks: list[bytes], lengths: np.ndarray) -> np.ndarray:
+        """Time-major ids (longest, lanes)."""
+        sizes = [len(b) // 4 for b in blocks]
+        words = np.frombuffer(b"".join([*blocks, bytes(16)]), np.uint32)
+        pos = np.cumsum([0, *sizes[:-1]])
+        code = (words[pos].astype(U) << SHIFT) | words[pos + 1]
+        pos += 2
+        ids = np.zeros((int(lengths.max()), self.n), np.int32)
+        for t in range(len(ids)):
             k = int(np.count_nonzero(lengths > t))
             if t and t % RENEW == 0:
                 self.renew()
             self.predict(k)
-            low, r = self.low[:k], self.range[:k] >> U(WEIGHT_BITS)
-            value = ((self.code[:k] - low) // r).astype(np.int64)
-            two, one = value < self.w2, value < self.w2 + self.w1
-            one &= ~two
-            start = np.where(two, 0, np.where(one, self.w2, self.w2 + self.w1))
-            size = np.where(two, self.w2, np.where(one, self.w1, (1 << WEIGHT_BITS) - self.w2 - self.w1))
-            self.take(slice(0, k), low + r * start.astype(U), r * size.astype(U))
-            now = np.where(two, self.guess[1], self.guess[0]).astype(np.int64)
-            miss = np.flatnonzero(~(two | one))
-            if len(miss):
-                low, r = self.low[miss], self.range[miss] >> U(TOTAL_BITS + CLASS_BITS)
-                value = ((self.code[miss] - low) // r).astype(np.int64)
-                high, row = value >> CLASS_BITS, miss * wide
-                cls = np.zeros(len(miss), np.int64)
-                for bit in range(self.steps - 1, -1, -1):
-                    step = cls + (1 << bit)
-                    cls = np.where(self.flat[row + step] <= high, step, cls)
-                start = self.flat[row + cls]
-                size = (self.flat[row + cls + 1] - start).astype(np.int64)
-                start = start.astype(np.int64) << CLASS_BITS
-                low_bits = (value - start) // size
-                now[miss] = (cls << CLASS_BITS) + low_bits
-                self.take(miss, low + r * (start + low_bits * size).astype(U), r * size.astype(U))
-                self.count[miss, cls] += 24
+            value = ((code[:k] - self.low[:k]) // (self.range[:k] >> U(TOTAL_BITS))).astype(np.int32)
+            part = value >> 12
+            two, one = part < self.w2, part < self.w12
+            zero = np.where(one, 0, value - (self.w12 << 12)) // self.scale
+            cell = self.class_of[self.unit_row[:k] + (zero >> CLASS_BITS)].astype(np.int32)
+            at = self.row[:k] + cell
+            units, start = self.units[at], self.start[at] << CLASS_BITS
+            inside = (zero - start) // units
+            now = np.where(two, self.guess[1], np.where(one, self.guess[0], (cell << CLASS_BITS) + inside))
+            start = np.where(two, 0, np.where(one, self.w2 << 12, (self.w12 << 12) + (start + inside * units) * self.scale))
+            size = np.where(two, self.w2 << 12, np.where(one, self.w12 - self.w2 << 12, units * self.scale))
+            low, rng, todo = self.narrow(start, size, k)
+            while len(todo):
+                lanes = todo
+                _, todo = self.shift(low, rng, todo)
+                code[lanes] = (code[lanes] << SHIFT) | words[pos[lanes]]
+                pos[lanes] += 1
             self.learn(now, k)
-            ids[:k, t] = now
+            ids[t, :k] = now
         return ids
 
 
-def block_length(n: int, longest: int = 4096, lanes: int = 512) -> int:
+def block_length(n: int, longest: int = 2048, lanes: int = 1024) -> int:
     """Shorter blocks for short sequences: so many lanes that array operations are worth their overhead."""
     return int(min(longest, max(256, -(-n // lanes))))
 
@@ -203,18 +187,18 @@ def encode(ids: np.ndarray, vocabulary: int, length: int | None = None) -> list[
         return []
     length = length or block_length(len(ids))
     lanes = -(-len(ids) // length)
-    grid = np.zeros(lanes * length, np.int64)
+    grid = np.zeros(lanes * length, np.int32)
     grid[: len(ids)] = ids
     lengths = np.full(lanes, length)
     lengths[-1] = len(ids) - length * (lanes - 1)
-    coded = _Encoder(lanes, vocabulary, length).run(grid.reshape(lanes, length), lengths)
+    coded = _Encoder(lanes, vocabulary).run(np.ascontiguousarray(grid.reshape(lanes, length)[:, : lengths.max()].T), lengths)
     return [HEAD.pack(n, zlib.crc32(b)) + b for n, b in zip(lengths.tolist(), coded, strict=True)]
 
 
 def decode(blocks: list[bytes], vocabulary: int) -> np.ndarray:
-    """The ids of consecutive blocks; any subset of blocks that are not the last of a sequence can be read alone."""
+    """The ids of consecutive blocks; any subset of blocks that keeps their order can be read alone."""
     if not blocks:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     heads = [HEAD.unpack_from(b) for b in blocks]
     bodies = [b[HEAD.size :] for b in blocks]
     for i, ((_, crc), body) in enumerate(zip(heads, bodies, strict=True)):
@@ -223,5 +207,5 @@ def decode(blocks: list[bytes], vocabulary: int) -> np.ndarray:
     lengths = np.array([n for n, _ in heads])
     if (np.diff(lengths) > 0).any():
         raise ValueError("a block is longer than one before it")
-    grid = _Decoder(bodies, vocabulary).run(lengths)
+    grid = _Decoder(len(blocks), vocabulary).run(bodies, lengths).T
     return grid[np.arange(grid.shape[1]) < lengths[:, None]]
