@@ -1,4 +1,6 @@
 """Registered queries over the driver tables, each beside the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import blocking_queries, matching_queries
+
+QUERIES: dict = blocking_queries.QUERIES | matching_queries.QUERIES
+ORACLES: dict[str, str] = blocking_queries.ORACLES | matching_queries.ORACLES
