@@ -75,7 +75,7 @@ def _hash(packed: np.ndarray, n: int) -> np.ndarray:
 @dataclass
 class Model:
     """hashes[n-1]: sorted; probability[n-1], backoff[n-1]: (n-grams, languages), of the discounted n-gram and of the
-    context's left-over weight. floor: probability of an unseen character. mean, deviation: by language, per character."""
+    context's left-over weight. floor: probability of any character without counts. mean, deviation: by language, per character."""
 
     languages: list[str]
     hashes: list[np.ndarray]
@@ -144,7 +144,8 @@ def fit(counts: pd.DataFrame, discount: float = 0.75) -> Model:
             shorter, n = np.unique(orders[0][0] & np.uint64((1 << (16 * k)) - 1), return_counts=True)
             orders.insert(0, (shorter, n.astype(float)))
         by_order.append(orders)
-    model.floor = np.array([discount / max(1, o[0][1].sum()) / 2 for o in by_order])  # unseen characters, as half a discount
+    letters = np.unique(np.concatenate([o[0][0] for o in by_order])) if by_order else ()
+    model.floor = np.full(len(languages), 1 / (len(letters) + 1))  # order 0: all known characters and one more alike
     for k in range(1, ORDER + 1):
         keys = np.unique(np.concatenate([o[k - 1][0] for o in by_order])) if by_order else np.zeros(0, np.uint64)
         contexts = np.unique(keys >> np.uint64(16))

@@ -32,7 +32,7 @@ def sainte_lague(parties: DataFrame, by: list[str], key: str, votes: str, seats:
     A party's quota is within n / 2 times its share, and 1, of its share of the seats. So only quotients that near are
     made and ranked: about 5 rows a party, however many seats there are."""
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    share = F.coalesce(F.col(votes) / F.sum(votes).over(group), F.lit(0.0))
+    share = F.coalesce(F.try_divide(F.col(votes).cast("double"), F.sum(votes).over(group)), F.lit(0.0))
     slack = F.ceil(share * F.count(F.lit(1)).over(group) / 2) + 2
     near = parties.withColumn("_base", F.floor(share * F.col(seats) + 0.5)).withColumn("_slack", slack)
     near = near.withColumn("_sure", F.greatest(F.lit(0), F.col("_base") - F.col("_slack"))).withColumn("_open", F.col(seats) - F.sum("_sure").over(group))

@@ -2,8 +2,8 @@
 
 A text's fingerprint has a bit set where over half of its shingles' hashes have it set. Fingerprints are compared once
 each, not once a document. Bit i gets a random vector of r + 1 bits; table t of 2^(r+1) - 1 keeps the bits whose vector
-has an even product with t. For any r differing bits some t is orthogonal to all their vectors, so every pair within the
-radius r collides in some table: no link is lost.
+has an odd product with t. For any r differing bits some t is orthogonal to all their vectors and so leaves all of them
+out: every pair within the radius r collides in some table, and no link is lost.
 
 In a bucket, no pairs are enumerated: a search from one fingerprint over those not yet reached links each to one that
 reached it, so a bucket of g fingerprints emits under g links and keeps its components whole. A bucket of many
@@ -92,8 +92,8 @@ def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 3, seed
 def covering_masks(radius: int, seed: int = 7) -> np.ndarray:
     """uint64 masks of the 2^(radius+1) - 1 tables."""
     vectors = np.random.default_rng(seed).integers(0, 1 << (radius + 1), BITS)
-    even = np.array([[bin(int(v) & t).count("1") % 2 == 0 for v in vectors] for t in range(1, 1 << (radius + 1))])
-    return np.packbits(even, axis=1, bitorder="little").view(np.uint64).ravel()
+    odd = np.array([[bin(int(v) & t).count("1") % 2 == 1 for v in vectors] for t in range(1, 1 << (radius + 1))])
+    return np.packbits(odd, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def _reach(fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
