@@ -75,7 +75,7 @@ def last_token(x, values: dict[str, str]) -> Column:
     """Upper-cased, with the last word replaced by its short form."""
     w = F.split(normalise(x), " ")
     last = F.element_at(w, -1)
-    return F.array_join(F.concat(F.slice(w, 1, F.size(w) - 1), F.array(F.coalesce(lookup(values, F.rtrim(F.lit("."), last)), last))), " ")
+    return F.array_join(F.concat(F.slice(w, 1, F.size(w) - 1), F.array(F.coalesce(lookup(values, F.rtrim(last, F.lit("."))), last))), " ")
 
 
 def street_suffix(x) -> Column:
