@@ -37,7 +37,7 @@ class _Lanes:
         self.n, self.classes = lanes, (vocabulary - 1 >> CLASS_BITS) + 1
         if self.classes > 1 << UNIT_BITS - 1:
             raise ValueError(f"at most {1 << UNIT_BITS - 1 + CLASS_BITS} ids")
-        self.lane = np.arange(lanes, dtype=np.int32)
+        self.lane = np.arange(lanes)  # as wide as an index: narrower ones are widened at each use
         self.low, self.range = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
         self.entry = [np.zeros(lanes << SLOT_BITS, np.int32) for _ in range(2)]  # order 1, order 2
         self.weight = [np.tile(np.array([8, 900, 2200, 3400], np.int32), lanes) for _ in range(2)]
