@@ -101,7 +101,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     twice = rows.sparkSession.sparkContext.broadcast(seen_twice(rows, "text", least, bits, k))
 
     def mark(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
+        for p in (p.iloc[i : i + 512] for p in parts for i in range(0, len(p), 512)):  # few keys and copies of texts at once
             texts = [t or "" for t in p["text"]]
             keys, owner = [], []
             for i, t in enumerate(texts):
@@ -113,7 +113,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
                 h = np.fromiter((xxhash.xxh64_intdigest(x) for x in keys), np.uint64, len(keys))
                 for j in np.flatnonzero(_has(twice.value, _places(h, bits, k))):
                     suspects[owner[j]].append(keys[j].decode())
-            yield pd.DataFrame({"key": p["key"], "text": texts, "n_lines": [t.count("\n") + 1 for t in texts], "suspects": suspects})
+            yield pd.DataFrame({"key": p["key"].to_numpy(), "text": texts, "n_lines": [t.count("\n") + 1 for t in texts], "suspects": suspects})
 
     marked = materialise(rows.mapInPandas(mark, f"key {docs.schema[key].dataType.simpleString()}, text string, n_lines long, suspects array<string>"), "marked")
     held = marked.select("key", F.explode("suspects").alias("line")).distinct()
