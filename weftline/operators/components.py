@@ -22,8 +22,9 @@ def connected_components(edges: DataFrame, u: str = "src", v: str = "dst", max_r
 
     Self loops give a component of their own; nulls are dropped; the order of u and v doesn't matter."""
     e = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null")
-    nodes = materialise(e.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "nodes")
-    star = materialise(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
+    start = materialise(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")  # edges are made once
+    nodes = start.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    star = start.where("u <> v")
     seen = _sum_of(star)
     for _ in range(max_rounds if seen[0] else 0):
         both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -66,8 +66,9 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.edges import make_edges
+    from ..scratch import materialise
 
-    return make_edges(scored(spark, sf_dir).where("score >= 0.9"), "weighted")
+    return materialise(make_edges(scored(spark, sf_dir).where("score >= 0.9"), "weighted"), "edges")  # several queries read it twice
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
