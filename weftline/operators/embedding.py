@@ -30,7 +30,7 @@ def cooccurrence(walks: DataFrame, window: int = 5) -> DataFrame:
     """(a, b, n): how often b follows or precedes a within the window."""
     w = Window.partitionBy("walk").orderBy("step")
     near = F.array(*[F.lead("node", d).over(w) for d in range(1, window + 1)])
-    pair = walks.select(F.col("node").alias("a"), F.explode(near).alias("b")).where("b is not null and a <> b")
+    pair = walks.select("node", near.alias("near")).select(F.col("node").alias("a"), F.explode("near").alias("b")).where("b is not null and a <> b")
     return pair.union(pair.select("b", "a")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
