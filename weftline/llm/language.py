@@ -113,6 +113,8 @@ class Model:
 
     def predict(self, texts: list[str], slack: float = 1.2, spread: float = 6.0) -> pd.DataFrame:
         """lang, score (the posterior at a temperature that grows with the root of the length), accepted."""
+        if not self.languages:
+            return pd.DataFrame({"lang": ["und"] * len(texts), "score": 0.0, "accepted": False})
         n, h = self.entropies(texts)
         best = h.argmin(axis=1)
         z = np.exp(-(h - h.min(axis=1, keepdims=True)) * np.sqrt(np.maximum(n, 1))[:, None])

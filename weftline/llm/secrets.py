@@ -27,10 +27,10 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN_LEAST = 6
 
-#: Candidate runs for the Markov models. No slash, dot or hyphen: those join ordinary words in paths and names.
+#: Candidate runs for the Markov models: unbroken but for the characters that encodings of random bytes use.
 RUN_LEAST = 20
-RUN = rf"[A-Za-z0-9+_=]{{{RUN_LEAST},}}"
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+_="
+RUN = rf"[A-Za-z0-9+/_=-]{{{RUN_LEAST},}}"
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 # Stems from which ordinary identifiers are composed for training.
 STEMS = (
@@ -69,17 +69,20 @@ STEMS = (
 
 def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     """(text, random boolean): n strings of each label, the same at each call. Random ones are hex digests and base64 of digests
-    in three alphabets; ordinary ones join two to four stems in snake, camel or plain form."""
+    in three alphabets; ordinary ones join two to four stems as words of names and paths are joined."""
     i, k = F.col("id"), F.array(*[F.lit(x) for x in STEMS])
     digest = F.sha2(F.concat(F.lit("weftline"), i.cast("string")), 256)
-    base = F.translate(F.base64(F.unhex(digest)), "/=", "+")
+    base = F.base64(F.unhex(digest))
     noise = F.when(i % 4 == 0, F.substring(digest, 1, 40)).when(i % 4 == 1, F.upper(F.substring(digest, 1, 32))).when(i % 4 == 2, base).otherwise(F.upper(base))
     stem = lambda j: F.element_at(k, (F.pmod(F.xxhash64(i, F.lit(j)), F.lit(len(STEMS))) + 1).cast("int"))
     parts = F.slice(F.array(*[stem(j) for j in range(4)]), 1, (2 + i % 3).cast("int"))
     named = (
-        F.when(i % 4 == 0, F.array_join(parts, "_"))
-        .when(i % 4 == 1, F.array_join(F.transform(parts, F.initcap), ""))
-        .when(i % 4 == 2, F.upper(F.array_join(parts, "_")))
+        F.when(i % 7 == 0, F.array_join(parts, "_"))
+        .when(i % 7 == 1, F.array_join(F.transform(parts, F.initcap), ""))
+        .when(i % 7 == 2, F.upper(F.array_join(parts, "_")))
+        .when(i % 7 == 3, F.array_join(parts, "/"))
+        .when(i % 7 == 4, F.array_join(parts, "-"))
+        .when(i % 7 == 5, F.concat(F.array_join(parts, "/"), F.lit("/"), (i % 1000).cast("string")))
         .otherwise(F.array_join(parts, ""))
     )
     ids = spark.range(n)
