@@ -172,3 +172,8 @@ def serialise(fields: list[str], weights: dict[str, int] | None = None, separato
         v = F.trim(F.coalesce(F.col(f).cast("string"), F.lit("")))
         parts.append(F.when(v != "", F.array_repeat(F.concat(F.lit(f"{f}: "), v), min(most, max(1, (weights or {}).get(f, 1))))).otherwise(F.array().cast("array<string>")))
     return F.array_join(F.flatten(F.array(*parts)), separator)
+
+
+def interpretation(score: Column) -> Column:
+    """A score in words."""
+    return F.when(score >= 0.9, "strong").when(score >= 0.75, "likely").when(score >= 0.55, "possible").otherwise("unlikely")

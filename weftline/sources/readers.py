@@ -47,10 +47,17 @@ def truth(df: DataFrame) -> DataFrame:
 
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """Truth from JSON (a list, or under pairs) or CSV."""
-    df = json_records(spark, path, ("pairs",)) if path.endswith(".json") else spark.read.option("header", True).csv(path)
+    df = json_records(spark, path, ("pairs",)) if path.rstrip("/").endswith(".json") else spark.read.option("header", True).csv(path)
     return truth(df)
 
 
+def linkage_table(df: DataFrame, source: str, key: str, title: str, body: list[str]) -> DataFrame:
+    """df with _key (source_key), source_id, _source, title, body and text: the columns of a record-linkage benchmark."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    made = {"_key": F.concat(F.lit(f"{source}_"), F.col(key).cast("string")), "source_id": F.col(key).cast("string"), "_source": F.lit(source), "title": F.trim(blank(title)), "body": F.trim(F.concat_ws(" ", *[blank(c) for c in body]))}
+    return df.withColumns(made).withColumn("text", F.trim(F.concat_ws(" ", "title", "body")))
+
+
 def lookup(df: DataFrame, keys: DataFrame, columns: list[str], key: str = "_key") -> DataFrame:
     """The records with the given keys, with the named columns only."""
     return df.select(key, *columns).join(keys.select(key).distinct(), key, "left_semi")
