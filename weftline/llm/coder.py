@@ -112,7 +112,7 @@ class _Lanes:
 class _Encoder(_Lanes):
     def run(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         """ids: time-major (longest, lanes)."""
-        out, pos = np.zeros((self.n, len(ids) + len(ids) // 8 + 16), np.uint32), np.zeros(self.n, np.int64)
+        out, pos = np.zeros((self.n, len(ids) + 16), np.uint32), np.zeros(self.n, np.int64)
         flat, row = out.ravel(), np.arange(self.n) * out.shape[1]
         for t in range(len(ids)):
             k = int(np.count_nonzero(lengths > t))
@@ -191,7 +191,8 @@ def encode(ids: np.ndarray, vocabulary: int, length: int | None = None) -> list[
     grid[: len(ids)] = ids
     lengths = np.full(lanes, length)
     lengths[-1] = len(ids) - length * (lanes - 1)
-    coded = _Encoder(lanes, vocabulary).run(np.ascontiguousarray(grid.reshape(lanes, length)[:, : lengths.max()].T), lengths)
+    grid = np.ascontiguousarray(grid.reshape(lanes, length)[:, : lengths.max()].T)
+    coded = _Encoder(lanes, vocabulary).run(grid, lengths)
     return [HEAD.pack(n, zlib.crc32(b)) + b for n, b in zip(lengths.tolist(), coded, strict=True)]
 
 

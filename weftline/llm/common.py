@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,3 +26,11 @@ def ascii_lower(c: Column) -> Column:
 def narrow(docs: DataFrame, *wanted: str) -> DataFrame:
     """Only the wanted columns: extra columns can then not clash with those that an operator adds."""
     return docs.select(*[docs[c] for c in wanted])
+
+
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task: Python workers outlive it, and another stage's worker may need
+    the room. Does nothing where the C library has no such call."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

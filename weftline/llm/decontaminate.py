@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import narrow, table
+from .common import give_back, narrow, table
 
 PASSAGE, BLOCK, SPAN = 48, 16, 4  # words of a passage at most; of a block; blocks of a window: it holds a passage whole
 CLIP = 1.5
@@ -241,6 +241,7 @@ def with_leaks(docs: DataFrame, indexes: list[Index], item_type: str = "bigint",
                     out += [list(itertools.chain(*each)) for each in zip(*found, strict=True)]
                     batch, size = [], 0
             yield pd.Series(out[: len(s)])
+        give_back()
 
     return docs.withColumn(to, leaks(F.col(text)))
 

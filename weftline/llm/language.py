@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import narrow, table
+from .common import give_back, narrow, table
 
 ORDER = 4
 _letters: np.ndarray | None = None
@@ -224,13 +224,14 @@ def identify(docs: DataFrame, model: Model, text: str = "text", to: str = "langu
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
             done, texts, size = [], [], 0
-            for t in [x or "" for x in s]:  # some two million characters at once
+            for t in [x or "" for x in s]:  # some million characters at once
                 texts.append(t)
                 size += len(t)
-                if size > 1 << 21:
+                if size > 1 << 20:
                     done.append(shared.value.predict(texts))
                     texts, size = [], 0
             yield pd.concat([*done, *([shared.value.predict(texts)] if texts or not done else [])], ignore_index=True)
+        give_back()
 
     return docs.withColumn(to, predict(F.col(text)))
 

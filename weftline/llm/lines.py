@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import materialise
-from .common import narrow, table
+from .common import give_back, narrow, table
 
 BLANK = b" \t\n\x0b\x0c\r"
 SLICE = 1 << 16  # bytes of a filter that are merged at once
@@ -72,6 +72,7 @@ def seen_twice(docs: DataFrame, text: str, least: int, bits: int, k: int) -> np.
             a, b = once[i : i + step], twice[i : i + step]
             if a.any():
                 yield pd.DataFrame({"slice": [i // step], "once": [zlib.compress(a.tobytes(), 1)], "twice": [zlib.compress(b.tobytes(), 1)]})
+        give_back()
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         once = twice = np.uint64(0)
@@ -114,6 +115,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
                 for j in np.flatnonzero(_has(twice.value, _places(h, bits, k))):
                     suspects[owner[j]].append(keys[j].decode())
             yield pd.DataFrame({"key": p["key"].to_numpy(), "text": texts, "n_lines": [t.count("\n") + 1 for t in texts], "suspects": suspects})
+        give_back()
 
     marked = materialise(rows.mapInPandas(mark, f"key {docs.schema[key].dataType.simpleString()}, text string, n_lines long, suspects array<string>"), "marked")
     held = marked.select("key", F.explode("suspects").alias("line")).distinct()

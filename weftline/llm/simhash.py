@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..scratch import materialise
-from .common import narrow, table
+from .common import give_back, narrow, table
 
 BITS = 64
 
@@ -85,6 +85,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 3, seed
     def fp(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             yield pd.Series(fingerprints([(x or "").encode() for x in s], shingle, seed).view(np.int64))
+        give_back()
 
     return docs.withColumn(to, fp(F.col(text)))
 

@@ -4,7 +4,7 @@ Documents are range-partitioned by id. Each task tokenizes its range in order an
 chunk is a row of a Parquet table with the documents' ids and lengths and the blocks of ``coder``. The table is the file
 format: any chunk can be read alone, and Spark's commit protocol keeps it whole if executors are lost.
 
-A text is cut at ASCII white space before it is tokenized and each distinct piece is tokenized once per worker. That
+A text is cut at ASCII white space before it is tokenized and each distinct piece is tokenized once per task. That
 gives the ids of the whole text, as this tokenizer lower-cases, and neither its normaliser nor its pre-tokenizer looks
 across white space, which both drop; ``pieces=False`` hands whole texts to the tokenizer instead, as other tokenizers need.
 
@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialise
 from . import coder
-from .common import narrow, table
+from .common import give_back, narrow, table
 
-#: Ids in a chunk, about; pieces that a worker remembers; characters tokenized at once.
-CHUNK, REMEMBERED, BATCH = 1 << 22, 600_000, 1 << 21
+#: Ids in a chunk, about; pieces that a task remembers; characters tokenized at once.
+CHUNK, REMEMBERED, BATCH = 1 << 22, 400_000, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -123,6 +123,7 @@ def write(docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str
 
         def chunk() -> pd.DataFrame:
             whole = np.concatenate(ids)
+            ids.clear()
             return pd.DataFrame({"part": [part], "first": [first], "keys": [keys], "sizes": [np.concatenate(sizes)], "n": [len(whole)], "blocks": [coder.encode(whole, tokenizer.vocabulary)]})
 
         for p in parts:
@@ -140,6 +141,8 @@ def write(docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str
                     keys, sizes, ids, first, held = [], [], [], first + held, 0
         if keys:
             yield chunk()
+        worker.forget()
+        give_back()
 
     written = dealt.sortWithinPartitions(*by, "text").mapInPandas(encode, "part int, first long, keys array<long>, sizes array<long>, n long, blocks array<binary>")
     return materialise(written, "tokens")
@@ -160,6 +163,7 @@ def read(written: DataFrame, tokenizer: Tokenizer) -> DataFrame:
                 view = memoryview(ids).cast("B")
                 crc = [zlib.crc32(view[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 yield pd.DataFrame({"key": pd.array([None if k is None or k != k else int(k) for k in keys], "Int64"), "start": start + ends - sizes, "n_tokens": sizes, "ids_crc32": crc})
+        give_back()
 
     return chunks.mapInPandas(decode, "key long, start long, n_tokens long, ids_crc32 long")
 
