@@ -210,7 +210,7 @@ def block_vector(df: DataFrame, key: str, vector: str, threshold: float = 0.7, l
             fine = (k[one] < k[two]) if i == j else np.ones(len(p), bool)
             fine &= s[one] == s[two]
             out.append(pd.DataFrame({"x": k[one[fine]], "y": k[two[fine]], "similarity": sim[p[fine], q[fine]]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"x": [], "y": [], "similarity": []})
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"x": np.zeros(0, object), "y": np.zeros(0, object), "similarity": np.zeros(0)})
 
     one, two = canonical_pair("x", "y")
     found = left.groupBy("i", "j").applyInPandas(meet, "x string, y string, similarity double").select(one.alias("doc1_key"), two.alias("doc2_key"), "similarity")

@@ -169,9 +169,9 @@ def _(spark, d):
 # --- blocking ---
 
 
-@query("block_stats", f"WITH {SCORED} SELECT count(*) AS total_pairs, {r('avg(score)', 6)} AS avg_score, max(score) AS max_score FROM scored")
+@query("block_stats", f"WITH {SCORED} SELECT count(*) AS total_pairs, {r('avg(score) + 1e-9', 6)} AS avg_score, max(score) AS max_score FROM scored")
 def _(spark, d):
-    return B.block_stats(scored(spark, d), "score").withColumn("avg_score", round_half_up("avg_score", 6))
+    return B.block_stats(scored(spark, d), "score").withColumn("avg_score", round_half_up(F.col("avg_score") + 1e-9, 6))
 
 
 @query("block_ngram_name", pairs_sql("nation JOIN supplier ON s_nationkey = n_nationkey", "s_suppkey", {"x": "upper(left(n_name, 3)) || '_' || (length(n_name) // 2)"}, "ngram", high=None))

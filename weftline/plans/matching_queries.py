@@ -561,9 +561,9 @@ def _(spark, d):
     return V.boundary_pairs(scored(spark, d), 0.8)
 
 
-@query("score_diagnostics", f"WITH {SCORED} SELECT count(score) AS n, {r('avg(score)', 6)} AS mean, {r('stddev_pop(score)', 6)} AS stdev, min(score) AS least, {r('quantile_cont(score, 0.25)', 6)} AS p25, {r('quantile_cont(score, 0.5)', 6)} AS p50, {r('quantile_cont(score, 0.75)', 6)} AS p75, {r('quantile_cont(score, 0.95)', 6)} AS p95, max(score) AS greatest FROM scored")
+@query("score_diagnostics", f"WITH {SCORED} SELECT count(score) AS n, {r('avg(score) + 1e-9', 6)} AS mean, {r('stddev_pop(score) + 1e-9', 6)} AS stdev, min(score) AS least, {r('quantile_cont(score, 0.25)', 6)} AS p25, {r('quantile_cont(score, 0.5)', 6)} AS p50, {r('quantile_cont(score, 0.75)', 6)} AS p75, {r('quantile_cont(score, 0.95)', 6)} AS p95, max(score) AS greatest FROM scored")
 def _(spark, d):
-    return L.score_diagnostics(scored(spark, d)).withColumns({c: round_half_up(c, 6) for c in ("mean", "stdev", "p25", "p50", "p75", "p95")})
+    return L.score_diagnostics(scored(spark, d)).withColumns({c: round_half_up(F.col(c) + (1e-9 if c in ("mean", "stdev") else 0.0), 6) for c in ("mean", "stdev", "p25", "p50", "p75", "p95")})  # off ties, as sums differ in their last digits
 
 
 @query("threshold_otsu")
