@@ -28,6 +28,18 @@ def narrow(docs: DataFrame, *wanted: str) -> DataFrame:
     return docs.select(*[docs[c] for c in wanted])
 
 
+#: Rows of an Arrow batch of texts. A batch is held several times over, in the JVM and in Python, and a text may be long.
+TEXTS_PER_BATCH = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after lowering the session's Arrow batch size to TEXTS_PER_BATCH if it is higher (by default it is ten times that)."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= TEXTS_PER_BATCH:
+        conf.set(name, str(TEXTS_PER_BATCH))
+    return df
+
+
 def give_back() -> None:
     """Returns freed memory to the system at the end of a task: Python workers outlive it, and another stage's worker may need
     the room. Does nothing where the C library has no such call."""

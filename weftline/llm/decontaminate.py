@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, narrow, table
+from .common import give_back, narrow, small_batches, table
 
 PASSAGE, BLOCK, SPAN = 48, 16, 4  # words of a passage at most; of a block; blocks of a window: it holds a passage whole
 CLIP = 1.5
@@ -151,7 +151,7 @@ def document_frequencies(docs: DataFrame, text: str, vocabulary: dict[bytes, int
         yield pd.DataFrame({"term": some, "n": total[some]})
 
     found = np.zeros(len(vocabulary) + 1, np.int64)
-    for r in docs.select(F.col(text).alias("text")).mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in small_batches(docs).select(F.col(text).alias("text")).mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         found[r["term"]] = r["n"]
     return found[:-1], int(found[-1])
 
@@ -243,7 +243,7 @@ def with_leaks(docs: DataFrame, indexes: list[Index], item_type: str = "bigint",
             yield pd.Series(out[: len(s)])
         give_back()
 
-    return docs.withColumn(to, leaks(F.col(text)))
+    return small_batches(docs).withColumn(to, leaks(F.col(text)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

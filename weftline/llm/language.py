@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, narrow, table
+from .common import give_back, narrow, small_batches, table
 
 ORDER = 4
 _letters: np.ndarray | None = None
@@ -174,7 +174,7 @@ def held_out(key: Column) -> Column:
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, calibration: int = 150) -> Model:
     """A model of the labelled rows of docs that aren't held out. per_language bounds the documents counted of each language,
     calibration those that set its rejection limits."""
-    d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("key")))
+    d = small_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("key")))
     d = d.withColumn("h", F.xxhash64(F.col("key").cast("string"), F.lit("language")))
     wanted = per_language + calibration
     sizes = d.groupBy("lang").count().collect()
@@ -233,7 +233,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", to: str = "langu
             yield pd.concat([*done, *([shared.value.predict(texts)] if texts or not done else [])], ignore_index=True)
         give_back()
 
-    return docs.withColumn(to, predict(F.col(text)))
+    return small_batches(docs).withColumn(to, predict(F.col(text)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import materialise
-from .common import give_back, narrow, table
+from .common import give_back, narrow, small_batches, table
 
 BLANK = b" \t\n\x0b\x0c\r"
 SLICE = 1 << 16  # bytes of a filter that are merged at once
@@ -97,7 +97,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
 
     A line whose key has at least ``least`` code points and stands in at least ``documents`` documents stays only in the
     largest key that holds it. bits_per_document sizes the filters, up to max_bits."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = small_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text"))
     bits = 1 << min(max_bits.bit_length() - 1, max(20, (docs.count() * bits_per_document).bit_length()))
     twice = rows.sparkSession.sparkContext.broadcast(seen_twice(rows, "text", least, bits, k))
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..scratch import materialise
-from .common import give_back, narrow, table
+from .common import give_back, narrow, small_batches, table
 
 BITS = 64
 
@@ -87,7 +87,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 3, seed
             yield pd.Series(fingerprints([(x or "").encode() for x in s], shingle, seed).view(np.int64))
         give_back()
 
-    return docs.withColumn(to, fp(F.col(text)))
+    return small_batches(docs).withColumn(to, fp(F.col(text)))
 
 
 def covering_masks(radius: int, seed: int = 7) -> np.ndarray:

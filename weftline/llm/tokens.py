@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialise
 from . import coder
-from .common import give_back, narrow, table
+from .common import give_back, narrow, small_batches, table
 
 #: Ids in a chunk, about; pieces that a task remembers; characters tokenized at once.
-CHUNK, REMEMBERED, BATCH = 1 << 22, 400_000, 1 << 20
+CHUNK, REMEMBERED, BATCH = 1 << 21, 400_000, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -113,7 +113,7 @@ class _Worker:
 
 def write(docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
     """The written table: part, first (ids of the part before this chunk), keys, sizes, n, blocks."""
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     by = [F.col("key").asc_nulls_first(), F.xxhash64("text").asc()]
     dealt = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
 
