@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions.expressions import canonical_pair
 from .predicates import apply_filters, computed, predicate
+from .ranking import global_rank
 
 
 def blocks(df: DataFrame, key: str, by: dict[str, str | Column], filters: dict | None = None, exclude: dict[str, list] | None = None, min_size: int = 2, max_size: int | None = 100) -> DataFrame:
@@ -76,13 +77,7 @@ def block_sorted_neighborhood(df: DataFrame, key: str, order: Column, window: in
     a global rank is made from sorted ranges, so that no task sees all records."""
     rows = df.select(F.col(key).cast("string").alias("_key"), F.coalesce(order.cast("string"), F.lit("")).alias("_o"), (partition if partition is not None else F.lit(0)).alias("_p"))
     if partition is None:
-        cut = rows.repartitionByRange("_o", "_key").withColumn("_slice", F.spark_partition_id())
-        from ..scratch import materialise
-
-        cut = materialise(cut, "slices")
-        local = cut.withColumn("_n", F.row_number().over(Window.partitionBy("_slice").orderBy("_o", "_key")))
-        before = cut.groupBy("_slice").count().select(F.col("_slice").alias("_s"), (F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("_slice")) - F.col("count")).alias("_before"))
-        ranked = local.join(F.broadcast(before), local["_slice"] == before["_s"]).withColumn("_rank", F.col("_n") + F.col("_before"))  # one row a slice
+        ranked = global_rank(rows, ["_o", "_key"], "_rank")
     else:
         ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_p").orderBy("_o", "_key")))
     ranked = ranked.select("_key", "_p", "_rank")
@@ -248,15 +243,13 @@ def block_address(df: DataFrame, key: str, street: str | Column, city: str | Col
 
 
 def prefix_candidates(records: DataFrame, base: DataFrame, key: str, fields: list[str], n: int = 3) -> DataFrame:
-    """(new_key, base_key): base records that share a lower-case prefix in some field; all of them for a record without any value.
-    One equi-join a field."""
+    """(new_key, base_key): base records that share a lower-case prefix in some field; one equi-join a field. A record without any
+    value has no candidates: it could not score over 0 with any."""
     prefix = lambda c: F.lower(F.substring(F.col(c).cast("string"), 1, n))
     found = []
     for f in fields:
         a = records.select(F.col(key).cast("string").alias("new_key"), prefix(f).alias("p")).where("p <> ''")
         found.append(a.join(base.select(F.col(key).cast("string").alias("base_key"), prefix(f).alias("p")), "p").select("new_key", "base_key"))
-    blank = records.where(reduce(lambda a, b: a & b, [F.coalesce(F.col(f).cast("string"), F.lit("")) == "" for f in fields])).select(F.col(key).cast("string").alias("new_key"))
-    found.append(blank.withColumn("one", F.lit(1)).join(base.select(F.col(key).cast("string").alias("base_key"), F.lit(1).alias("one")), "one").drop("one"))
     return reduce(lambda a, b: a.union(b), found).where("new_key <> base_key").distinct()
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import round_half_up
 from ..scratch import materialise
 from .components import connected_components
 from .edges import active
+from .ranking import global_rank
 
 
 def cluster(edges: DataFrame, src: str = "src", dst: str = "dst", min_size: int = 2) -> DataFrame:
@@ -30,9 +31,8 @@ def wide(members: DataFrame) -> DataFrame:
 
 def numbered(members: DataFrame) -> DataFrame:
     """members with the position of each cluster in the order of its id, as cluster_000000."""
-    ids = members.select("cluster_id").distinct()
-    w = Window.partitionBy(F.lit(0)).orderBy("cluster_id")
-    return members.join(ids.withColumn("name", F.concat(F.lit("cluster_"), F.lpad((F.row_number().over(w) - 1).cast("string"), 6, "0"))), "cluster_id")
+    ids = global_rank(members.select("cluster_id").distinct(), ["cluster_id"], "n")
+    return members.join(ids.select("cluster_id", F.concat(F.lit("cluster_"), F.lpad((F.col("n") - 1).cast("string"), 6, "0")).alias("name")), "cluster_id")
 
 
 def cluster_of(members: DataFrame, key: str) -> DataFrame:
