@@ -236,7 +236,7 @@ def with_leaks(docs: DataFrame, indexes: list[Index], item_type: str = "bigint",
             for t in [*s, None]:
                 batch.append(t)
                 size += len(t or "")
-                if size > 1 << 20 or len(out) + len(batch) > len(s):
+                if size > 1 << 19 or len(out) + len(batch) > len(s):
                     found = [x.search(batch, near, likely, sure) for x in shared.value]
                     out += [list(itertools.chain(*each)) for each in zip(*found, strict=True)]
                     batch, size = [], 0

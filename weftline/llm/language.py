@@ -224,10 +224,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", to: str = "langu
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
             done, texts, size = [], [], 0
-            for t in [x or "" for x in s]:  # some million characters at once
+            for t in [x or "" for x in s]:  # some half a million characters at once
                 texts.append(t)
                 size += len(t)
-                if size > 1 << 20:
+                if size > 1 << 19:
                     done.append(shared.value.predict(texts))
                     texts, size = [], 0
             yield pd.concat([*done, *([shared.value.predict(texts)] if texts or not done else [])], ignore_index=True)
