@@ -30,7 +30,7 @@ from . import coder
 from .common import give_back, narrow, small_batches, table
 
 #: Ids in a chunk, about; pieces that a task remembers; characters tokenized at once.
-CHUNK, REMEMBERED, BATCH = 1 << 21, 250_000, 1 << 20
+CHUNK, REMEMBERED, BATCH = 1 << 20, 250_000, 1 << 20
 
 
 @dataclass(frozen=True)
