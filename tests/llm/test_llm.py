@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, coder, decontaminate, fingerprint, language, lines, mixing, secrets, simhash, tokens, urls
+from weftline.llm import chat, coder, decontaminate, fingerprint, language, lines, mixing, secrets, similar, simhash, tokens, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, fp string, spans string, leaks string, row string, kept string"
 
@@ -501,6 +501,71 @@ def test_near_duplicate_stage_with_repeated_and_missing_ids(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, a), (2, b), (None, c), (3, None)]))
 
 
+def shingles_by_hand(t):
+    w = [x.lower() for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def components_by_hand(texts):
+    sets, parent = [shingles_by_hand(t) for t in texts], list(range(len(texts)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b) > 0:
+                x, y = top(i), top(j)
+                parent[max(x, y)] = min(x, y)
+    return [top(i) for i in range(len(texts))]
+
+
+def edited_copies(rng):
+    """Families of texts with some words changed, about the limit of similarity and far from SimHash's radius."""
+    texts = []
+    for n in (9, 30, 80, 200, 400):
+        for _ in range(6):
+            w = [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+            texts.append(" ".join(w))
+            for _ in range(4):
+                c = list(w)
+                for _ in range(rng.randint(1, max(1, n // 25))):
+                    c[rng.randrange(n)] = f"x{rng.randint(0, 5000)}"
+                texts.append(" ".join(c))
+    return texts + ["a b", "A  b", "b a", "", " \n", "a b c d e", "a b c d e f"]
+
+
+def test_near_duplicate_stage_equals_brute_force(spark):
+    import corpus_pipeline as P
+
+    texts = edited_copies(random.Random(14))
+    want = {i for i, c in enumerate(components_by_hand(texts)) if c == i}
+    got = P.drop_near_duplicates(spark, corpus(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), "").select("doc_id").collect()
+    assert len(want) < len(texts) - 30 and sorted(r.doc_id for r in got) == sorted(want)
+
+
+def test_search_of_shingle_sets_joins_all_components():
+    texts = edited_copies(random.Random(15))
+    sets = [similar.shingle_set(t.encode(), similar._Words()) for t in texts]
+    assert [len(s) for s in sets] == [len(shingles_by_hand(t)) for t in texts]
+    some = [i for i, s in enumerate(sets) if len(s)]
+    parent = {i: i for i in range(len(some))}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in similar.reach([sets[i] for i in some]):
+        x, y = top(a), top(b)
+        parent[max(x, y)] = min(x, y)
+    want = components_by_hand([texts[i] for i in some])
+    assert [top(i) for i in range(len(some))] == want
+    assert list(similar.reach([sets[some[0]]])) == []
+
+
 def test_digest_columns(spark):
     got = secrets.scan(corpus(spark, [(1, "token=abcdefgh", None, None)]), [0.0] * len(secrets.ALPHABET) ** 2).select(F.sha2(secrets.digest(F.col("base")), 256).alias("x")).first()
     assert got.x == hashlib.sha256(b"assign:0:14").hexdigest()
