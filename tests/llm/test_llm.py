@@ -501,6 +501,30 @@ def test_near_duplicate_stage_with_repeated_and_missing_ids(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, a), (2, b), (None, c), (3, None)]))
 
 
+@pytest.mark.parametrize("many", [300, 3000])
+def test_whole_copies_meet_the_targets(spark, many):
+    import corpus_pipeline as P
+
+    for seed, names in enumerate((("a", "b", "c"), ("b", "a", "c"), ("c", "b", "a"))):  # weights go by name
+        rng = random.Random(seed)
+        few, short, tiny = names
+        rows = [(i, "w " * rng.randint(1800, 2200), "en", few) for i in range(20)]
+        rows += [(1000 + i, "w " * rng.randint(1, 80), "en", short) for i in range(many)]
+        rows += [(9000 + i, "w " * rng.randint(1, 300), "en", tiny) for i in range(25)] + [(9900, None, "en", tiny), (9901, "", "en", None)]
+        d = corpus(spark, rows)
+        taken, longest, got = {}, {}, {}
+        for r in mixing.mix(d, keep=True).select("row.source", "size", "taken").collect():
+            taken[r.source] = taken.get(r.source, 0) + r.taken
+            longest[r.source] = max(longest.get(r.source, 0), r.size)
+        copies = {}
+        for r in P.mix_sources(spark, d, "").select("doc_id", "source", mixing.words(F.col("text")).alias("size")).collect():
+            got[r.source] = got.get(r.source, 0) + r.size
+            copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
+        assert max(copies.values()) <= 2
+        for s, t in taken.items():
+            assert abs(got.get(s, 0) - t) <= longest[s] / 2 + 1
+
+
 def shingles_by_hand(t):
     w = [x.lower() for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
     return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
