@@ -79,6 +79,26 @@ def test_markov_models_separate_held_out_samples(spark):
     assert wrong.count() <= 0.02 * held.count()
 
 
+@pytest.mark.parametrize("letters", ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"])
+def test_keys_glued_to_names_and_paths_are_found(spark, letters):
+    rng = random.Random(16)
+    glue = ["", "aws_secret_access_key=", "storage_account_key=", "session_cookie_value=", "database_connection_signature=", "project/archive/", "customer/history/document/storage/", "state-of-the-art-description_", "KEY/customer_account_transaction_history/"]
+    ratios = secrets.train(secrets.labelled_samples(spark))
+    key = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    rows = []
+    for i in range(40):
+        for g in glue:
+            k, before = key(40), g.replace("KEY", key(40))
+            rows.append((len(rows), f"see {before}{k} there", "en", k))
+            rows.append((len(rows), f"see {before}{k}/government/industry/information there", "en", k))
+    plain = [f"see {g}{'government_industry_information'} there" for g in glue[1:8]]
+    got = secrets.scan(corpus(spark, rows), ratios).select("source", F.col("spans"), F.col("text")).collect()
+    hit = [any(s.kind == 3 and r.source in s.value for s in r.spans) for r in got]
+    assert all(r.text[s.start : s.end] == s.value for r in got for s in r.spans)
+    assert sum(hit) >= 0.97 * len(hit)
+    assert all(not r.spans for r in secrets.scan(corpus(spark, [(i, t, "en", "s") for i, t in enumerate(plain)]), ratios).select(F.col("spans")).collect())
+
+
 def test_secret_scan_of_awkward_rows(spark, docs):
     ratios = secrets.train(secrets.labelled_samples(spark))
     assert secrets.scan(docs, ratios).count() == docs.count()

@@ -1,8 +1,11 @@
 """Secret scan: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
 Two first-order Markov chains over characters are trained from labelled samples, one on random strings and one on
-ordinary identifiers. A long unbroken run of characters is a secret when its log-likelihood ratio per transition
-exceeds ``margin``. All of it is DataFrame expressions: every document is handled in its own row, without a shuffle.
+ordinary identifiers. A long unbroken run of characters is cut after its "=" (padding stays); a long piece is a secret when
+its log-likelihood ratio per transition exceeds ``margin``, and otherwise those of its long words and stretches of highest
+sum (widened to separators) that do. So a name or path before or after a key doesn't hide it. A run whose ratio exceeds
+``margin`` as a whole is reported whole if no piece of it is. All of it is DataFrame expressions: every document is handled
+in its own row, without a shuffle.
 
 Null and empty texts have no spans. Overlaps: a run that touches a pattern's span is not reported again.
 """
@@ -30,6 +33,8 @@ ASSIGN_LEAST = 6
 #: Candidate runs for the Markov models: unbroken but for the characters that encodings of random bytes use.
 RUN_LEAST = 20
 RUN = rf"[A-Za-z0-9+/_=-]{{{RUN_LEAST},}}"
+PIECE_LEAST = 8  # of a run that is random as a whole
+DROP = 8.0  # a fall of the summed ratio that ends a stretch
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 # Stems from which ordinary identifiers are composed for training.
@@ -104,14 +109,87 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     return [round(r - o, 5) for r, o in zip(log[True], log[False], strict=True)]
 
 
-def _llr(run: Column, ratios: Column) -> Column:
-    """Mean log-likelihood ratio over a run's transitions: at most one table look-up per character."""
+def _steps(run: Column, ratios: Column) -> Column:
+    """Log-likelihood ratios of a run's transitions: at most one table look-up per character."""
     a = len(ALPHABET)
     at = F.filter(F.transform(F.split(run, ""), lambda c: F.instr(F.lit(ALPHABET), c)), lambda i: i > 0)
-    steps = F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda x, y: F.element_at(ratios, (x - 1) * a + y))
+    return F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda x, y: F.element_at(ratios, (x - 1) * a + y))
+
+
+def _mean(steps: Column) -> Column:
     return F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x) / F.size(steps)
 
 
+def _llr(run: Column, ratios: Column) -> Column:
+    """Mean log-likelihood ratio over a run's transitions."""
+    return _mean(_steps(run, ratios))
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+SPANS = "array<struct<s:int,e:int>>"
+
+
+def _span(s: Column, e: Column) -> Column:
+    return F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
+
+
+def _placed(pieces: Column) -> Column:
+    """array<struct<at, piece>> of adjoining pieces."""
+    empty = F.array().cast("array<struct<at:int,piece:string>>")
+    step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), p.alias("piece")))).alias("out"))
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+
+def _stretches(piece: Column, steps: Column, margin: float) -> Column:
+    """The stretches of highest sum: each begins where the sum was last at zero and ends at its peak, before the sum falls by DROP
+    or to zero. They are widened to separators; those that are long
+    and random enough count, as do words between separators, joined where they overlap."""
+    least = margin * (RUN_LEAST - 1)
+    none = F.array().cast(SPANS)
+    kept = lambda acc: F.when(acc["best"] > least, F.concat(acc["out"], F.array(_span(acc["s"], acc["e"])))).otherwise(acc["out"])
+    state = lambda i, s, e, now, best, out: F.struct(i.cast("int").alias("i"), s.cast("int").alias("s"), e.cast("int").alias("e"), now.alias("now"), best.alias("best"), out.alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        now, i = acc["now"] + x, acc["i"] + 1
+        over, higher = (now <= 0) | (now <= acc["best"] - DROP), now > acc["best"]
+        return F.when(over, state(i, i, i, F.lit(0.0), F.lit(0.0), kept(acc))).otherwise(state(i, acc["s"], F.when(higher, i + 1).otherwise(acc["e"]), now, F.greatest(now, acc["best"]), acc["out"]))
+
+    found = F.aggregate(steps, state(F.lit(0), F.lit(0), F.lit(0), F.lit(0.0), F.lit(0.0), none), step, kept)
+    left = lambda x: F.length(F.regexp_extract(F.substring(piece, F.lit(1), x["s"]), "[A-Za-z0-9+]*$", 0))
+    right = lambda x: F.length(F.regexp_extract(F.substring(piece, x["e"] + 1, F.length(piece)), "^[A-Za-z0-9+]*=*", 0))
+    wide = F.transform(found, lambda x: _span(x["s"] - left(x), x["e"] + right(x)))
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
+    words = F.transform(_placed(F.regexp_extract_all(piece, F.lit("[A-Za-z0-9+]+|[^A-Za-z0-9+]+"), F.lit(0))), lambda w: _span(w["at"], w["at"] + F.length(w["piece"])))
+    counts = F.filter(F.concat(wide, words), lambda x: (x["e"] - x["s"] >= RUN_LEAST) & (_mean(F.slice(steps, x["s"] + 1, F.greatest(F.lit(0), x["e"] - x["s"] - 1))) > margin))
+    joined = F.aggregate(
+        F.array_sort(counts),
+        none,
+        lambda acc, x: F.when((F.size(acc) > 0) & (last(acc)["e"] > x["s"]), F.concat(F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1)), F.array(_span(last(acc)["s"], F.greatest(last(acc)["e"], x["e"]))))).otherwise(F.concat(acc, F.array(x))),
+    )
+    return joined
+
+
+def _random_parts(run: Column, ratios: Column, margin: float) -> Column:
+    """Spans (from the run's start) that the models call random."""
+    pieces = F.regexp_extract_all(run, F.lit("=*[^=]+=*"), F.lit(0))
+    placed = _placed(pieces)
+
+    def judged(p: Column, whole: Column) -> Column:
+        size = F.length(p["piece"])
+        inside = lambda steps: F.when(((size >= RUN_LEAST) | (whole & (size >= PIECE_LEAST))) & (_mean(steps) > margin), F.array(_span(F.lit(0), size))).when(size >= RUN_LEAST, _stretches(p["piece"], steps, margin)).otherwise(F.array().cast(SPANS))
+        return F.transform(_let(_steps(p["piece"], ratios), inside), lambda x: _span(x["s"] + p["at"], x["e"] + p["at"]))
+
+    def parts(whole: Column) -> Column:
+        found = F.flatten(F.transform(placed, lambda p: judged(p, whole)))
+        return _let(found, lambda f: F.when((F.size(f) == 0) & whole, F.array(_span(F.lit(0), F.length(run)))).otherwise(f))
+
+    return _let(_llr(run, ratios) > margin, parts)
+
+
 def _matches(text: Column, pattern: str, kind: int) -> Column:
     """array<struct<start, kind, end, value>> of the leftmost non-overlapping matches, in code points.
 
@@ -138,7 +216,9 @@ def scan(docs: DataFrame, ratios: list[float], text: str = "text", margin: float
     base = F.array_sort(F.concat(F.filter(_matches(t, ASSIGN, 0), lambda x: F.length(x["value"]) >= ASSIGN_LEAST), _matches(t, ACCESS, 1), _matches(t, HEX, 2)))
     docs = docs.withColumn("base", base).withColumn("_runs", _matches(t, RUN, 3))
     free = F.filter(F.col("_runs"), lambda r: ~F.exists(F.col("base"), lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return docs.withColumn("spans", F.array_sort(F.concat(F.col("base"), F.filter(free, lambda r: _llr(r["value"], table_of) > margin)))).drop("_runs")
+    part = lambda r, x: F.struct((r["start"] + x["s"]).alias("start"), r["kind"].alias("kind"), (r["start"] + x["e"]).alias("end"), F.substring(r["value"], x["s"] + 1, x["e"] - x["s"]).alias("value"))
+    random = F.flatten(F.transform(free, lambda r: F.transform(_random_parts(r["value"], table_of, margin), lambda x: part(r, x))))
+    return docs.withColumn("spans", F.array_sort(F.concat(F.col("base"), random))).drop("_runs")
 
 
 def digest(spans: Column) -> Column:
