@@ -283,6 +283,14 @@ def test_colliding_digests_are_told_apart(spark, monkeypatch):
     assert got[0].fingerprint == got[2].fingerprint != got[1].fingerprint
 
 
+def test_second_half_of_a_digest_does_not_follow_from_the_first(spark):
+    h = xxhash.xxh64_intdigest
+    for r in spark.createDataFrame([("some text",), ("",), ("é" * 50,)], "t string").select("t", fingerprint.wide_hash(F.col("t")).alias("d")).collect():
+        first, second = int(r.d[:16], 16), int(r.d[16:], 16)
+        assert first == h(r.t.encode(), 42) and second == h(r.t.encode(), h(b"wide", 42))
+        assert second != h(b"wide", h(first.to_bytes(8, "little"), first))
+
+
 def test_next_in_order_wraps_and_spans_buckets(spark):
     ids = [3, 4, 5, 900, 901, 10_000, 77_000]
     d = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")

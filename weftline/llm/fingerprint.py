@@ -1,7 +1,7 @@
 """Document fingerprints: a canonical exact digest.
 
 Canonical text: Unicode normal form KC, full case folding, runs of white space as one space, none at the ends. Its
-digest is two chained 64-bit xxHash values. Documents are grouped by digest; inside a digest that several documents
+digest is two 64-bit xxHash values under different seeds. Documents are grouped by digest; inside a digest that several documents
 share, canonical texts are compared byte by byte (as the least and the greatest of the group), and a digest that
 different texts share is told apart by a suffix. So fingerprints are equal exactly where canonical texts are.
 
@@ -30,9 +30,9 @@ def canonical(text: Column) -> Column:
 
 
 def wide_hash(c: Column) -> Column:
-    """128 bits as 32 hex digits."""
-    h = F.xxhash64(c)
-    return F.lower(F.concat(F.lpad(F.hex(h), 16, "0"), F.lpad(F.hex(F.xxhash64(c, h, F.lit("wide"))), 16, "0")))
+    """128 bits as 32 hex digits. Each argument of xxhash64 seeds the next: the salt stands first, so that the second half hashes
+    the text anew instead of following from the first."""
+    return F.lower(F.concat(F.lpad(F.hex(F.xxhash64(c)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit("wide"), c)), 16, "0")))
 
 
 def collided(texts: DataFrame) -> DataFrame:
