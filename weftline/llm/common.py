@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,8 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 def give_back() -> None:
     """Returns freed memory to the system at the end of a task: Python workers outlive it, and another stage's worker may need
-    the room. Does nothing where the C library has no such call."""
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    the room."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
     if trim is not None:
         trim(0)
