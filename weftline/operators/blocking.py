@@ -18,24 +18,51 @@ from .predicates import apply_filters, computed, predicate
 from .ranking import global_rank
 
 
-def blocks(df: DataFrame, key: str, by: dict[str, str | Column], filters: dict | None = None, exclude: dict[str, list] | None = None, min_size: int = 2, max_size: int | None = 100) -> DataFrame:
-    """(key, block keys, block_size) of the records whose block's size is in the band."""
-    df = apply_filters(df, filters)
-    made = df.select(F.col(key).cast("string").alias("_key"), *[computed(c).alias(n) for n, c in by.items()]).where("_key <> ''")
+def _sized(made: DataFrame, by: list[str], **measures: Column) -> DataFrame:
+    """made with what is measured of each block."""
+    size = made.groupBy(*by).agg(*[c.alias(n) for n, c in measures.items()]).withColumnsRenamed({c: f"_size_{c}" for c in by})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_size_{c}")) for c in by])
+    return made.join(size, same).drop(*[f"_size_{c}" for c in by])
+
+
+def _split(made: DataFrame, by: list[str], max_size: int) -> DataFrame:
+    """made (with a number, _split) with ``band``: blocks over max_size are cut into bands of equal width of that number, as many
+    as give bands of half that size on average; other blocks, and rows without the number, are in band 0."""
+    at = F.col("_split")
+    cut = _sized(made, by, _n=F.count(F.lit(1)), _low=F.min(at), _high=F.max(at))
+    bands = F.ceil(F.col("_n") * 2 / F.lit(max_size))
+    band = F.least(bands - 1, F.floor((at - F.col("_low")) / (F.col("_high") - F.col("_low")) * bands))
+    wide = (F.col("_n") > max_size) & (F.col("_high") > F.col("_low")) & at.isNotNull()
+    return cut.withColumn("band", F.when(wide, band).otherwise(F.lit(0)).cast("long")).drop("_n", "_low", "_high", "_split")
+
+
+def _members(df: DataFrame, key: str | None, by: dict[str, str | Column], filters: dict | None, exclude: dict[str, list] | None, max_size: int | None, split: str | Column | None) -> tuple[DataFrame, list[str]]:
+    """Rows (key, block keys) before sizes are looked at, and the names of all block keys."""
+    made = apply_filters(df, filters).select(*([F.col(key).cast("string").alias("_key")] if key else []), *[computed(c).alias(n) for n, c in by.items()], *([computed(split).cast("double").alias("_split")] if split is not None else []))
+    made = made.where("_key <> ''") if key else made
     for name, values in (exclude or {}).items():
         made = made.where(predicate(name, {"not_in": values}))
-    made = made.distinct()
-    size = made.groupBy(*by).agg(F.count(F.lit(1)).alias("block_size")).where(F.col("block_size") >= min_size)
-    size = size if max_size is None else size.where(F.col("block_size") <= max_size)
-    size = size.withColumnsRenamed({c: f"_size_{c}" for c in by})
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_size_{c}")) for c in by])
-    return made.join(size, same).select("_key", *by, "block_size")
+    made = made.distinct() if key else made
+    if split is None or max_size is None:
+        return made.drop("_split"), [*by]
+    return _split(made, [*by], max_size), [*by, "band"]
+
+
+def blocks(df: DataFrame, key: str, by: dict[str, str | Column], filters: dict | None = None, exclude: dict[str, list] | None = None, min_size: int = 2, max_size: int | None = 100, split: str | Column | None = None) -> DataFrame:
+    """(key, block keys, block_size) of the records whose block's size is in the band.
+
+    A block over max_size is left out, and ``skipped_blocks`` names it. With ``split``, a number of the record, it is cut into
+    bands of like numbers first (a further block key, ``band``), so that a cap that suits small tables doesn't empty large ones."""
+    made, names = _members(df, key, by, filters, exclude, max_size, split)
+    sized = _sized(made, names, block_size=F.count(F.lit(1))).where(F.col("block_size") >= min_size)
+    return sized if max_size is None else sized.where(F.col("block_size") <= max_size)
 
 
-def skipped_blocks(df: DataFrame, by: dict[str, str | Column], max_size: int, top: int | None = None, filters: dict | None = None) -> DataFrame:
+def skipped_blocks(df: DataFrame, by: dict[str, str | Column], max_size: int, top: int | None = None, filters: dict | None = None, split: str | Column | None = None) -> DataFrame:
     """The blocks that a cap leaves out, largest first."""
-    size = apply_filters(df, filters).select(*[computed(c).alias(n) for n, c in by.items()]).groupBy(*by).agg(F.count(F.lit(1)).alias("block_size"))
-    size = size.where(F.col("block_size") > max_size).orderBy(F.desc("block_size"), *by)
+    made, names = _members(df, None, by, filters, None, max_size, split)
+    size = made.groupBy(*names).agg(F.count(F.lit(1)).alias("block_size"))
+    size = size.where(F.col("block_size") > max_size).orderBy(F.desc("block_size"), *names)
     return size.limit(top) if top else size
 
 
@@ -49,8 +76,9 @@ def block_pairs(members: DataFrame, by: list[str], method: str) -> DataFrame:
 
 
 def block_collect(df: DataFrame, key: str, by: dict[str, str | Column], method: str = "collect_blocking", **band) -> DataFrame:
-    """Pairs of records with equal composite keys."""
-    return block_pairs(blocks(df, key, by, **band), list(by), method)
+    """Pairs of records with equal composite keys. band: the settings of ``blocks``."""
+    found = blocks(df, key, by, **band)
+    return block_pairs(found, [c for c in found.columns if c not in ("_key", "block_size")], method)
 
 
 def block_exact(df: DataFrame, key: str, field: str, drop: tuple[str, ...] = ("", "0")) -> DataFrame:

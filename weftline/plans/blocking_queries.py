@@ -150,6 +150,22 @@ def _(spark, d):
     return B.skipped_blocks(parts(spark, d), {"name": "p_name"}, 20, 5)
 
 
+SPLIT = """
+WITH m AS (SELECT CAST(p_partkey AS VARCHAR) AS k, p_brand AS x, p_retailprice AS v, count(*) OVER w AS n0, min(p_retailprice) OVER w AS low, max(p_retailprice) OVER w AS high FROM part WINDOW w AS (PARTITION BY p_brand)),
+b AS (SELECT *, CASE WHEN n0 > 6 AND high > low AND v IS NOT NULL THEN least(ceil(n0 * 2 / 6) - 1, floor((v - low) / (high - low) * ceil(n0 * 2 / 6))) ELSE 0 END::BIGINT AS band FROM m),
+s AS (SELECT *, count(*) OVER (PARTITION BY x, band) AS n FROM b)"""
+
+
+@query("block_split", SPLIT + " SELECT a.k AS doc1_key, b.k AS doc2_key, 'collect_blocking' AS method, a.n AS block_size FROM s a JOIN s b ON a.x = b.x AND a.band = b.band AND a.k < b.k WHERE a.n BETWEEN 2 AND 6")
+def _(spark, d):
+    return slim(B.block_collect(parts(spark, d), "key", {"brand": "p_brand"}, max_size=6, split="p_retailprice"))
+
+
+@query("skipped_split_blocks", SPLIT + " SELECT x AS brand, band, count(*) AS block_size FROM s WHERE n > 6 GROUP BY 1, 2 ORDER BY block_size DESC, brand, band")
+def _(spark, d):
+    return B.skipped_blocks(parts(spark, d), {"brand": "p_brand"}, 6, split="p_retailprice")
+
+
 @query("block_exact", pairs_sql("supplier", "s_suppkey", {"x": "s_nationkey"}, "exact", high=None, where="s_nationkey IS NOT NULL AND s_nationkey <> 0"))
 def _(spark, d):
     s = table(spark, d, "supplier").withColumn("nation", F.col("s_nationkey").cast("string"))

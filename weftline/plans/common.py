@@ -23,13 +23,18 @@ def r(x: str, n: int = 4) -> str:
     return f"floor(({x})::DOUBLE * {10**n}.0 + 0.5) / {10**n}.0"
 
 
-#: Candidate pairs of customers by nation and segment, scored: the flagship's first half, as SQL.
+#: Candidate pairs of customers by nation and segment, scored: the flagship's first half, as SQL. Blocks over 200 are cut into
+#: bands of like balances.
 SCORED = f"""
+measured AS (SELECT *, count(*) OVER w AS n0, min(c_acctbal) OVER w AS low, max(c_acctbal) OVER w AS high FROM customer WINDOW w AS (PARTITION BY c_nationkey, c_mktsegment)),
+banded AS (
+  SELECT *, CASE WHEN n0 > 200 AND high > low AND c_acctbal IS NOT NULL
+    THEN least(ceil(n0 * 2 / 200) - 1, floor((c_acctbal - low) / (high - low) * ceil(n0 * 2 / 200))) ELSE 0 END AS band FROM measured),
+sized AS (SELECT *, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment, band) AS n FROM banded),
 pairs AS (
   SELECT CAST(a.c_custkey AS VARCHAR) AS k1, CAST(b.c_custkey AS VARCHAR) AS k2, a.c_name AS n1, b.c_name AS n2, a.c_acctbal AS b1, b.c_acctbal AS b2
-  FROM (SELECT *, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n FROM customer) a
-  JOIN (SELECT *, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n FROM customer) b
-    ON a.c_nationkey IS NOT DISTINCT FROM b.c_nationkey AND a.c_mktsegment IS NOT DISTINCT FROM b.c_mktsegment
+  FROM sized a JOIN sized b
+    ON a.c_nationkey IS NOT DISTINCT FROM b.c_nationkey AND a.c_mktsegment IS NOT DISTINCT FROM b.c_mktsegment AND a.band = b.band
     AND CAST(a.c_custkey AS VARCHAR) < CAST(b.c_custkey AS VARCHAR)
   WHERE a.n BETWEEN 2 AND 200 AND b.n BETWEEN 2 AND 200),
 scored AS (
@@ -46,10 +51,14 @@ members AS (SELECT min(other) AS cluster_id, node AS member_key FROM reach GROUP
 """
 
 
+#: How customers are blocked.
+BLOCKS = {"by": {"nation": "c_nationkey", "segment": "c_mktsegment"}, "max_size": 200, "split": "c_acctbal"}
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.blocking import block_collect
 
-    return block_collect(customers(spark, sf_dir), "key", {"nation": "c_nationkey", "segment": "c_mktsegment"}, max_size=200)
+    return block_collect(customers(spark, sf_dir), "key", **BLOCKS)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

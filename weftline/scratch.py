@@ -5,18 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where that setting is unset (tests)."""
+    """The folder that ``spark.checkpoint.dir`` names. Only in local mode, where there are no other machines, may that setting
+    be missing (tests): a temporary folder serves then."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return str(current.get())
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="weftline-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -32,6 +35,13 @@ def materialise(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``materialise``, and aggregates of df taken while it is written."""
+    seen = Observation()
+    written = materialise(df.observe(seen, *[c.alias(n) for n, c in measures.items()]), name)
+    return written, seen.get
+
+
 def purge(spark: SparkSession) -> int:
     """Deletes the tables that ``materialise`` wrote; call it once no result that reads them is needed."""
     jvm, n = spark.sparkContext._jvm, 0
