@@ -127,6 +127,7 @@ def test_language_models_are_distributions_and_predict(spark):
     context = language._grams(*language._clean(["ka lo"]))[-1]
     total = np.exp(model.log_probability((context << np.uint64(16)) | chars)).sum(axis=0)
     assert (total > 0.9).all() and (total < 1.001).all()
+    assert list(model.predict(["☺️ 123", "", "e\u0301", "\u0301"])["lang"])[:2] == ["und", "und"] and model.predict(["\u0301"])["lang"].iloc[0] == "und"
     foreign = model.predict(["Это русский текст о погоде и жизни людей в городе"])
     assert not foreign["accepted"].iloc[0]
 
@@ -226,10 +227,11 @@ def test_line_dedup_equals_brute_force(spark):
     assert lines.deduplicate(corpus(spark, rows).limit(0)).count() == 0
 
 
-def test_full_filters_change_nothing(spark):
-    rows = [(i, "\n".join(f"line {j} of the corpus that is surely long enough" for j in range(i, i + 4)), "en", "s") for i in range(40)]
-    a = lines.deduplicate(corpus(spark, rows), max_bits=1 << 6, bits_per_document=0).select("doc_id", "kept").collect()
-    assert sorted(a) == sorted((k, x) for k, _, _, x in lines_by_hand(rows))
+@pytest.mark.parametrize("bits,each", [(1 << 6, 0), (1 << 12, 256), (1 << 30, 256)])
+def test_full_filters_and_passes_change_nothing(spark, bits, each):
+    rows = [(2**60 + i, "\n".join(f"line {j} of the corpus that is surely long enough" for j in range(i, i + 4)), "en", "s") for i in range(40)] + [(None, "line 7 of the corpus that is surely long enough", None, None)]
+    a = lines.deduplicate(corpus(spark, rows).coalesce(1), max_bits=bits, bits_per_document=each).select("doc_id", "kept").collect()
+    assert sorted(map(str, map(tuple, a))) == sorted(str((k, x)) for k, _, _, x in lines_by_hand(rows))
 
 
 # --- op5 ---
@@ -265,8 +267,16 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert len(cascade.filters) > 2
     rows = keys.toPandas()
     assert (cascade.contains(rows["h1"].to_numpy(), rows["h2"].to_numpy()) == (rows["id"] % 13 == 0).to_numpy()).all()
-    with pytest.raises(ValueError):
-        urls.build_cascade(listed.select("h1", "h2"), keys.select("h1", "h2"), max_bytes=16)
+    few = keys.where("id < 2")  # a first filter in proportion to the listed keys lets about as many others pass
+    cascade = urls.build_cascade(few.select("h1", "h2"), keys.select("h1", "h2"))
+    assert sum(len(words) for words, _ in cascade.filters) <= 6
+    assert (cascade.contains(rows["h1"].to_numpy(), rows["h2"].to_numpy()) == (rows["id"] < 2).to_numpy()).all()
+
+
+def test_urls_of_any_length(spark):
+    rows = [(1, "http://" + "a." * 5000 + "com/en/" + "x" * 100_000), (2, "http://" + "b" * 100_000 + ".net/de/8"), (2**60 + 1, None)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).select("page_id", "rule", "verdict").collect()
+    assert sorted(map(tuple, got)) == [(1, "com/en/", "block"), (2, "net/de/", "block"), (2**60 + 1, None, "allow")]
 
 
 # --- op6 ---
@@ -396,6 +406,49 @@ def test_decontamination_finds_leaks_and_leaves_the_rest(spark):
     assert decontaminate.with_leaks(d.limit(0), decontaminate.build(d.limit(0), bench)).count() == 0
 
 
+def test_items_in_several_blocks_and_passes_are_reported_once(spark):
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((140, 20, 45, 300))]
+    rows = [(2**60 + i, " ".join([word() for _ in range(30)] + t.split() + [word() for _ in range(30)]), "en", "s") for i, t in items] + [(None, items[0][1], None, None), (7, "nothing of it", None, None)]
+    d, bench = corpus(spark, rows), spark.createDataFrame([*items, (1, items[1][1])], "item_id long, text string")
+    for bytes_ in (1, 1 << 30):
+        indexes = [*decontaminate.build(d, bench, most_terms=40)]
+        assert len(indexes) > 5
+        found = decontaminate.with_leaks(d, indexes, most_bytes=bytes_).select("doc_id", F.explode("leaks").alias("l")).collect()
+        assert sorted((str(r.doc_id), r.l.item) for r in found) == sorted([(str(2**60 + i), i) for i in range(4)] + [("None", 0)])
+        assert all(r.l.similarity == 1.0 for r in found)
+
+
+def test_frequencies_without_the_dictionary(spark, monkeypatch):
+    d, bench = corpus(spark, [(1, "a b a", None, None), (2, "b c. d", None, None), (3, None, None, None)]), spark.createDataFrame([(b"a",), (b"b",), (b"x",)], "word binary")
+    want = {b"a": 1, b"b": 2, b"": 3}
+    assert {bytes(r.word): r.n for r in decontaminate.document_frequencies(d, "text", bench).collect()} == want
+    monkeypatch.setattr(decontaminate, "WORDS_HELD", 1)
+    assert {bytes(r.word): r.n for r in decontaminate.document_frequencies(d, "text", bench).collect()} == want
+
+
+def test_retrieval_recall_against_brute_force(spark):
+    """All windows against all passages by the word check alone, on edited copies from near to far."""
+    rng = random.Random(28)
+    vocabulary = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 3))) for _ in range(900)]
+    word = lambda: vocabulary[int(rng.random() ** 3 * 900)]
+    items = [(i, " ".join(word() for _ in range(rng.randint(8, 100)))) for i in range(120)]
+    rows = []
+    for i, t in items:
+        keep = rng.uniform(0.55, 1)
+        edited = [x if rng.random() < keep else word() for x in t.split()]
+        rows.append((i, " ".join([word() for _ in range(rng.randint(0, 120))] + edited + [word() for _ in range(rng.randint(0, 120))]), "en", "s"))
+    d, bench = corpus(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    index = [*decontaminate.build(d, bench)]
+    texts = [r[1] for r in rows]
+    every = {(n, x["item"]) for n, found in enumerate(index[0].search(texts, -2.0, 0.6, 0.8)) for x in found}
+    near = {(n, x["item"]) for n, found in enumerate(index[0].search(texts, 0.45, 0.6, 0.8)) for x in found}
+    assert near <= every and 60 < len(every) < 140 and len(near) >= 0.97 * len(every)
+    got = decontaminate.with_leaks(d, index).select("doc_id", F.explode("leaks").alias("l")).collect()
+    assert {(r.doc_id, r.l.item) for r in got} == near
+
+
 def test_longest_common_subsequence():
     rng = random.Random(9)
     for _ in range(200):

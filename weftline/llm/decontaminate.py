@@ -9,9 +9,15 @@ Candidates are then checked on words: the longest common subsequence with the pa
 times its length, must cover ``sure`` of the passage, or ``likely`` of it with the answer: the words that the item's
 answer names, or else the passage's rarest.
 
-Documents are never shuffled: what is broadcast is the benchmark, checked against ``most_terms``; a larger benchmark is
-searched in blocks of items. Null and empty texts leak nothing; items without words find nothing; equal items are each
-reported. Every row of the corpus is judged by itself, so repeated rows agree.
+Documents are never shuffled. A benchmark of many words is indexed in blocks of passages of about ``most_terms`` words; the
+driver holds one block at a time, and tasks get as many blocks at once as fit ``most_bytes``: beyond that, the corpus is
+gone through again, with what was found so far beside it. An item whose passages fall in several blocks is reported once,
+with its best passage.
+
+Null and empty texts leak nothing; items without words find nothing; equal items are each reported. Texts of any length are
+searched whole, window by window. Every row of the corpus is judged by itself, so repeated rows agree; null ids don't
+matter. Of passages of an item that match alike, the first found counts. An empty corpus gives an empty table, an empty
+benchmark no leaks. Extra columns stay; one called like the result is replaced.
 """
 
 from __future__ import annotations
@@ -19,14 +25,16 @@ from __future__ import annotations
 import itertools
 import math
 import string
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
 from .common import give_back, narrow, small_batches, table
 
 PASSAGE, BLOCK, SPAN = 48, 16, 4  # words of a passage at most; of a block; blocks of a window: it holds a passage whole
@@ -68,6 +76,11 @@ class Index:
     coded: list[list[int]]
     answers: list[set[int]]
 
+    @property
+    def size(self) -> int:
+        """Bytes that it takes, about."""
+        return self.terms.nbytes + self.latent.nbytes + 128 * len(self.vocabulary) + 40 * sum(map(len, self.coded))
+
     def code(self, texts: list[str | None]) -> list[np.ndarray]:
         get = self.vocabulary.get
         return [np.fromiter(map(get, w, itertools.repeat(-1)), np.int32, len(w)) for w in map(words, texts)]
@@ -101,12 +114,11 @@ class Index:
     def search(self, texts: list[str | None], near: float, likely: float, sure: float) -> list[list[dict]]:
         coded = self.code(texts)
         out: list[dict] = [{} for _ in texts]
-        if not len(self.items):
-            return [[] for _ in texts]
         latent, doc, block = self.windows(coded)
         norm = np.linalg.norm(self.latent, axis=1)
-        for lo in range(0, len(latent), 4096):
-            w = latent[lo : lo + 4096]
+        step = max(16, (1 << 22) // len(self.items))  # windows times passages at once
+        for lo in range(0, len(latent), step):
+            w = latent[lo : lo + step]
             cos = w @ self.latent.T / np.maximum(norm * np.clip(np.linalg.norm(w, axis=1)[:, None], norm, CLIP * norm), 1e-12)
             for i, j in zip(*np.nonzero(cos >= near), strict=True):
                 d, at = int(doc[lo + i]), int(block[lo + i]) * BLOCK
@@ -134,53 +146,79 @@ class Index:
         return best
 
 
-def document_frequencies(docs: DataFrame, text: str, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, int]:
-    """Over all documents: in how many each term stands; the number of documents. As many rows as terms reach the driver."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+#: Words whose frequencies tasks and driver hold in a dictionary, and words that a task counts before it passes counts on.
+WORDS_HELD, WORDS_COUNTED = 1 << 19, 1 << 18
+
+
+def document_frequencies(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(word, n): in how many of all documents each word of wanted.word stands, from one pass; the empty word has the number
+    of documents. Where the words wanted are few, tasks count only those; else all, which are met by a join."""
+    few = wanted.count() <= WORDS_HELD
+    shared = docs.sparkSession.sparkContext.broadcast({r["word"]: i for i, r in enumerate(wanted.toLocalIterator())} if few else None)
 
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, get, n = np.zeros(len(shared.value) + 1, np.int64), shared.value.get, len(shared.value)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        total = np.zeros(len(known or ()) + 1, np.int64)
+        counted: dict[bytes, int] = {}
         rows = 0
-        for p in parts:
-            rows += len(p)
-            for t in p["text"]:
-                w = words(t)
-                total[np.unique(np.fromiter(map(get, w, itertools.repeat(n)), np.int32, len(w)))] += 1
-        total[n] = rows  # the place of words outside the vocabulary serves for the number of documents
-        some = np.flatnonzero(total)
-        yield pd.DataFrame({"term": some, "n": total[some]})
 
-    found = np.zeros(len(vocabulary) + 1, np.int64)
-    for r in small_batches(docs).select(F.col(text).alias("text")).mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        found[r["term"]] = r["n"]
-    return found[:-1], int(found[-1])
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"word": pa.array(list(counted), pa.binary()), "n": pa.array(list(counted.values()), pa.int64())})
+
+        for b in batches:
+            rows += len(b)
+            for t in b["text"]:
+                w = words(t.as_py())
+                if known is not None:
+                    total[np.unique(np.fromiter(map(known.get, w, itertools.repeat(-1)), np.int32, len(w)))] += 1
+                    continue
+                for x in set(w):
+                    counted[x] = counted.get(x, 0) + 1
+                if len(counted) > WORDS_COUNTED:
+                    yield out()
+                    counted.clear()
+        if known is not None:  # the last place has the words that aren't wanted
+            counted |= {x: int(total[i]) for x, i in known.items() if total[i]}
+        counted[b""] = rows
+        yield out()
+
+    found = small_batches(docs).select(F.col(text).alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return found if few else found.join(wanted.union(docs.sparkSession.createDataFrame([(b"",)], "word binary")), "word", "left_semi")
 
 
 def randomised_svd(rows: DataFrame, width: int, k: int, oversample: int = 10, power: int = 1, seed: int = 5) -> np.ndarray:
     """(width, k): leading right singular vectors of a sparse matrix with rows (at array<int>, value array<double>).
 
-    Products A'(A X) are summed by tasks and merged by slices of ``width``; the driver holds one width x (k + oversample)."""
+    Products A'(A X) are summed by tasks, which pass on only the rows of the result that they touch, and merged by slices of
+    ``width``; the driver holds one width x (k + oversample)."""
     spark, slice_ = rows.sparkSession, 1024
 
     def product(x: np.ndarray) -> np.ndarray:
-        shared = spark.sparkContext.broadcast(x)
+        shared, k = spark.sparkContext.broadcast(x), x.shape[1]
 
         def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            out = np.zeros_like(shared.value)
             for p in parts:
-                for at, value in zip(p["at"], p["value"], strict=True):
-                    np.add.at(out, at, value[:, None] * (value @ shared.value[at]))
-            for lo in range(0, len(out), slice_):
-                yield pd.DataFrame({"slice": [lo // slice_], "part": [out[lo : lo + slice_].tobytes()]})
+                touched, at = np.unique(np.concatenate(p["at"].to_numpy()), return_inverse=True)
+                out = np.zeros((len(touched), k))
+                for own, value in zip(np.split(at, np.cumsum(p["at"].map(len))[:-1]), p["value"], strict=True):  # a row names a column once
+                    out[own] += value[:, None] * (value @ shared.value[touched[own]])
+                for s in np.unique(touched // slice_):
+                    here = touched // slice_ == s
+                    yield pd.DataFrame({"slice": [s], "at": [touched[here].astype(np.int64).tobytes()], "part": [out[here].tobytes()]})
 
         def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = sum((np.frombuffer(b) for b in pdf["part"]), np.zeros(1))
-            return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "part": [total.tobytes()]})
-
-        out = np.zeros_like(x)
-        for r in rows.mapInPandas(partial, "slice int, part binary").groupBy("slice").applyInPandas(merge, "slice int, part binary").toLocalIterator():
-            got = np.frombuffer(r["part"]).reshape(-1, x.shape[1])
-            out[r["slice"] * slice_ :][: len(got)] = got
+            first = int(pdf["slice"].iloc[0]) * slice_
+            total, seen = np.zeros((slice_, k)), np.zeros(slice_, bool)
+            for at, part in zip(pdf["at"], pdf["part"], strict=True):
+                own = np.frombuffer(at, np.int64) - first
+                total[own] += np.frombuffer(part).reshape(-1, k)
+                seen[own] = True
+            return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "at": [(np.flatnonzero(seen) + first).tobytes()], "part": [total[seen].tobytes()]})
+
+        out, schema = np.zeros_like(x), "slice int, at binary, part binary"
+        for r in rows.mapInPandas(partial, schema).groupBy("slice").applyInPandas(merge, schema).toLocalIterator():
+            out[np.frombuffer(r["at"], np.int64)] = np.frombuffer(r["part"]).reshape(-1, k)
+        shared.destroy()
         return out
 
     size = min(width, k + oversample)
@@ -191,29 +229,45 @@ def randomised_svd(rows: DataFrame, width: int, k: int, oversample: int = 10, po
     return basis @ turn[:, ::-1][:, :k]
 
 
-def build(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", answer: str | None = None, k: int = 192, most_terms: int = 1 << 18) -> list[Index]:
-    """Indexes of blocks of items. answer: a column of benchmark with the item's answer, if it has one."""
+def build(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", answer: str | None = None, k: int = 192, most_terms: int = 1 << 16) -> Iterator[Index]:
+    """Indexes of blocks of passages, made as they are asked for. answer: a column of benchmark with the item's answer, if it has
+    one."""
     own = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text"), (F.col(answer) if answer else F.lit(None).cast("string")).alias("answer"))
-    blocks: list[tuple[dict, list]] = [({}, [])]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"word": pa.array(list({w for t in b["text"] for w in words(t.as_py())}), pa.binary())})
+
+    wanted = materialise(own.select("text").mapInArrow(split, "word binary").distinct(), "wanted")
+    frequency = materialise(document_frequencies(docs, text, wanted), "frequency")
+    few = frequency.count() <= WORDS_HELD + 1
+    held = {r["word"]: r["n"] for r in frequency.toLocalIterator()} if few else {}
+    n = sum(r["n"] for r in frequency.where("word = X''").collect())
+
+    def index(vocabulary: dict, rows: list) -> Index:
+        known = held
+        if not few:
+            here = docs.sparkSession.createDataFrame([(w,) for w in vocabulary], "word binary")
+            known = {r["word"]: r["n"] for r in frequency.join(here, "word").collect()}
+        return _index(docs.sparkSession, vocabulary, rows, np.array([known.get(w, 0) for w in vocabulary]), n, k)
+
+    vocabulary, rows = {}, []
     for r in own.orderBy("item", "text").toLocalIterator():
         for p in passages(r["text"]):
-            if len(blocks[-1][0]) > most_terms:
-                blocks.append(({}, []))
-            vocabulary, rows = blocks[-1]
+            if len(vocabulary) > most_terms:
+                yield index(vocabulary, rows)
+                vocabulary, rows = {}, []
             rows.append((r["item"], [vocabulary.setdefault(w, len(vocabulary)) for w in p], words(r["answer"])))
-    return [_index(docs, text, vocabulary, rows, k) for vocabulary, rows in blocks]
+    if rows:
+        yield index(vocabulary, rows)
 
 
-def _index(docs: DataFrame, text: str, vocabulary: dict[bytes, int], rows: list, k: int) -> Index:
-    if not rows:
-        return Index({}, np.zeros((0, 1), np.float32), [], np.zeros((0, 1), np.float32), [], [])
-    df, n = document_frequencies(docs, text, vocabulary)
+def _index(spark: SparkSession, vocabulary: dict, rows: list, df: np.ndarray, n: int, k: int) -> Index:
     idf = np.log((n + 1) / (df + 1)) + 0.05
     sparse = []
     for _, terms, _ in rows:
         at, tf = np.unique(terms, return_counts=True)
         sparse.append((at.tolist(), (tf * idf[at]).tolist()))
-    spark = docs.sparkSession
     matrix = spark.createDataFrame(sparse, "at array<int>, value array<double>").repartition(max(1, min(64, len(sparse) // 256)))
     vectors = randomised_svd(matrix, len(vocabulary), min(k, len(rows)))
     latent = np.array([np.asarray(v) @ vectors[a] for a, v in sparse])
@@ -225,25 +279,48 @@ def _index(docs: DataFrame, text: str, vocabulary: dict[bytes, int], rows: list,
     return Index(vocabulary, (vectors * idf[:, None]).astype(np.float32), [r[0] for r in rows], latent.astype(np.float32), [r[1] for r in rows], answers)
 
 
-def with_leaks(docs: DataFrame, indexes: list[Index], item_type: str = "bigint", text: str = "text", near: float = 0.45, likely: float = 0.6, sure: float = 0.8, to: str = "leaks") -> DataFrame:
-    """docs with array<struct<item, similarity, cosine>>: the benchmark items that a document holds."""
+def _best(*found: list[dict]) -> list[dict]:
+    """Each item once, as it is most similar."""
+    best: dict = {}
+    for x in itertools.chain(*found):
+        if x["item"] not in best or x["similarity"] > best[x["item"]]["similarity"]:
+            best[x["item"]] = x
+    return sorted(best.values(), key=lambda x: x["item"])
+
+
+def _search(docs: DataFrame, indexes: list[Index], item_type: str, text: str, near: float, likely: float, sure: float, to: str, more: bool) -> DataFrame:
+    """docs with the leaks that indexes find; with more, beside those in the column already."""
     shared = docs.sparkSession.sparkContext.broadcast(indexes)
 
     @F.pandas_udf(f"array<struct<item:{item_type},similarity:double,cosine:double>>")
-    def leaks(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
+    def leaks(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for s, before in parts:
             out, batch, size = [], [], 0
             for t in [*s, None]:
                 batch.append(t)
                 size += len(t or "")
                 if size > 1 << 19 or len(out) + len(batch) > len(s):
                     found = [x.search(batch, near, likely, sure) for x in shared.value]
-                    out += [list(itertools.chain(*each)) for each in zip(*found, strict=True)]
+                    out += [_best(*each) for each in zip(*found, strict=True)]
                     batch, size = [], 0
-            yield pd.Series(out[: len(s)])
+            yield pd.Series([_best(b, x) for b, x in zip(before, out, strict=False)] if more else out[: len(s)])
         give_back()
 
-    return small_batches(docs).withColumn(to, leaks(F.col(text)))
+    return small_batches(docs).withColumn(to, leaks(F.col(text), F.col(to) if more else F.lit(0)))
+
+
+def with_leaks(docs: DataFrame, indexes: Iterable[Index], item_type: str = "bigint", text: str = "text", near: float = 0.45, likely: float = 0.6, sure: float = 0.8, to: str = "leaks", most_bytes: int = 256 << 20) -> DataFrame:
+    """docs with array<struct<item, similarity, cosine>>: the benchmark items that a document holds, each once."""
+    settings = item_type, text, near, likely, sure, to
+    some, size, more = [], 0, False
+    for index in indexes:
+        if some and size + index.size > most_bytes:
+            docs, more, some, size = materialise(_search(docs, some, *settings, more), "leaks"), True, [], 0
+        some.append(index)
+        size += index.size
+    if not some:
+        return docs.withColumn(to, F.array().cast(f"array<struct<item:{item_type},similarity:double,cosine:double>>"))
+    return _search(docs, some, *settings, more)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

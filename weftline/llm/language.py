@@ -8,8 +8,10 @@ binary search. A text goes to the language with the lowest cross-entropy per cha
 Rejection is calibrated on documents that were not counted: a text is rejected if its cross-entropy exceeds its
 language's mean by more than ``slack`` nats and a multiple of the deviation that a text of its length shows.
 
-Null texts and texts without letters are ``und`` with score 0, and rejected. Ties go to the first language by name.
-Counts come from a bounded sample of labelled rows: ``per_language`` documents of each language, chosen by hash.
+Null texts and texts without letters are ``und`` with score 0, and rejected; marks alone are no letters. Ties go to the
+first language by name. Texts of any length are scored whole, each row by itself, so repeated rows agree. Counts come from
+a bounded sample of labelled rows: ``per_language`` documents of each language, chosen by hash. Without any such row, as
+in an empty table, all texts are ``und``. Extra columns aren't read; a column called like the result is replaced.
 """
 
 from __future__ import annotations
@@ -116,6 +118,7 @@ class Model:
         if not self.languages:
             return pd.DataFrame({"lang": ["und"] * len(texts), "score": 0.0, "accepted": False})
         n, h = self.entropies(texts)
+        n[[not any(map(str.isalpha, t)) for t in texts]] = 0
         best = h.argmin(axis=1)
         z = np.exp(-(h - h.min(axis=1, keepdims=True)) * np.sqrt(np.maximum(n, 1))[:, None])
         over = h[np.arange(len(h)), best] - self.mean[best]
@@ -171,13 +174,16 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, calibration: int = 150) -> Model:
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, calibration: int = 150, most_languages: int = 500) -> Model:
     """A model of the labelled rows of docs that aren't held out. per_language bounds the documents counted of each language,
-    calibration those that set its rejection limits."""
+    calibration those that set its rejection limits. A column of more than most_languages values holds no languages, and is
+    refused."""
     d = small_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("key")))
     d = d.withColumn("h", F.xxhash64(F.col("key").cast("string"), F.lit("language")))
     wanted = per_language + calibration
-    sizes = d.groupBy("lang").count().collect()
+    sizes = d.groupBy("lang").count().limit(most_languages + 1).collect()
+    if len(sizes) > most_languages:
+        raise ValueError(f"column {lang!r} has more than {most_languages} values")
     # a hash below this share of the range: about twice the documents wanted, before the exact choice
     near = F.lit(False)
     for r in sizes:

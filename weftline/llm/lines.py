@@ -5,11 +5,13 @@ already there enters a second filter of keys seen twice. Filters merge bit by bi
 in both. Merging may add suspects but never loses a repeat. Lines whose key passes the second filter are suspects; their
 keys alone are shuffled, in full, for an exact count of documents and the choice of the one that keeps its lines.
 
-The second filter is what is broadcast: at most ``max_bits``, whatever the corpus. Beyond that it fills up, suspects
-approach all long lines, and the result stays the same.
+The second filter is what is broadcast: at most ``max_bits``. A corpus that needs more is gone through in passes, each for
+the keys of one part of the hash's range, with a filter of its own; so filters never fill up, and no key is left out.
 
-Null and empty texts are one empty line. Documents with equal doc_id count once, and keep or drop together; rows without
-a doc_id count as one document that never keeps. Repeated lines within a document stay or go together.
+Null and empty texts are one empty line. Very long texts and lines are handled like any other; keys and lines aren't cut.
+Documents with equal doc_id count once, and keep or drop together; rows without a doc_id count as one document that
+never keeps. Repeated lines within a document stay or go together. Ids may be of any type that has an order, and stay in
+Arrow arrays of that type. An empty table gives an empty one. Extra columns aren't read, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,25 +56,31 @@ def _put(words: np.ndarray, at: np.ndarray) -> None:
     np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64).ravel(), (np.uint64(1) << (at & np.uint64(63))).ravel())
 
 
-def seen_twice(docs: DataFrame, text: str, least: int, bits: int, k: int) -> np.ndarray:
-    """The words of the second filter over all of docs.text."""
+def _long_keys(text: str | None, least: int) -> list[bytes]:
+    """The distinct keys of a text's lines that are long enough."""
+    return [x for x in {line_key(x) for x in text.encode().split(b"\n")} if long_key(x, least)] if text else []
 
-    def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _hashes(keys: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys))
+
+
+def seen_twice(docs: DataFrame, text: str, least: int, bits: int, k: int, turn: int = 0, passes: int = 1) -> np.ndarray:
+    """The words of the second filter over all of docs.text, for the keys whose turn it is."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(bits // 64, np.uint64), np.zeros(bits // 64, np.uint64)
-        for p in parts:
-            found: list[int] = []
-            for t in p["text"]:
-                keys = {line_key(x) for x in t.encode().split(b"\n")} if t else ()
-                found += [xxhash.xxh64_intdigest(x) for x in keys if long_key(x, least)]
-            h, n = np.unique(np.array(found, np.uint64), return_counts=True)
+        for b in batches:
+            h = _hashes([x for t in b["text"] for x in _long_keys(t.as_py(), least)])
+            h, n = np.unique(h[h % np.uint64(passes) == turn], return_counts=True)
             at = _places(h, bits, k)
             _put(twice, at[(n > 1) | _has(once, at)])
             _put(once, at)
         step = SLICE // 8
         for i in range(0, bits // 64, step):
-            a, b = once[i : i + step], twice[i : i + step]
-            if a.any():
-                yield pd.DataFrame({"slice": [i // step], "once": [zlib.compress(a.tobytes(), 1)], "twice": [zlib.compress(b.tobytes(), 1)]})
+            x, y = once[i : i + step], twice[i : i + step]
+            if x.any():
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([i // step], pa.int32()), "once": [zlib.compress(x.tobytes(), 1)], "twice": [zlib.compress(y.tobytes(), 1)]})
         give_back()
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -82,7 +91,7 @@ def seen_twice(docs: DataFrame, text: str, least: int, bits: int, k: int) -> np.
         return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "once": [zlib.compress(once.tobytes(), 1)], "twice": [zlib.compress(twice.tobytes(), 1)]})
 
     schema = "slice int, once binary, twice binary"
-    filled = docs.select(F.col(text).alias("text")).mapInPandas(fill, schema)
+    filled = docs.select(F.col(text).alias("text")).mapInArrow(fill, schema)
     salted = filled.withColumn("salt", (F.rand(1) * 32).cast("int"))  # merge in two steps, so that no group grows with the tasks
     first = salted.groupBy("slice", "salt").applyInPandas(lambda pdf: merge(pdf.drop(columns="salt")), schema)
     out = np.zeros(bits // 64, np.uint64)
@@ -92,32 +101,41 @@ def seen_twice(docs: DataFrame, text: str, least: int, bits: int, k: int) -> np.
     return out
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 40, documents: int = 5, k: int = 4, max_bits: int = 1 << 30, bits_per_document: int = 256) -> DataFrame:
-    """key, kept (the text that stays), n_lines, n_dropped for each row of docs.
+def _with_suspects(rows: DataFrame, twice: np.ndarray, least: int, bits: int, k: int, turn: int, passes: int) -> DataFrame:
+    """rows (key, text, suspects) with the keys of this turn that pass the filter added to suspects."""
+    shared = rows.sparkSession.sparkContext.broadcast(twice)
 
-    A line whose key has at least ``least`` code points and stands in at least ``documents`` documents stays only in the
-    largest key that holds it. bits_per_document sizes the filters, up to max_bits."""
-    rows = small_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    bits = 1 << min(max_bits.bit_length() - 1, max(20, (docs.count() * bits_per_document).bit_length()))
-    twice = rows.sparkSession.sparkContext.broadcast(seen_twice(rows, "text", least, bits, k))
-
-    def mark(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in (p.iloc[i : i + 512] for p in parts for i in range(0, len(p), 512)):  # few keys and copies of texts at once
-            texts = [t or "" for t in p["text"]]
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(i, 512) for b in batches for i in range(0, len(b), 512)):  # few keys and copies of texts at once
             keys, owner = [], []
-            for i, t in enumerate(texts):
-                own = [x for x in {line_key(x) for x in t.encode().split(b"\n")} if long_key(x, least)]
+            for i, t in enumerate(b["text"]):
+                own = _long_keys(t.as_py(), least)
                 keys += own
                 owner += [i] * len(own)
-            suspects: list[list[str]] = [[] for _ in texts]
-            if keys:
-                h = np.fromiter((xxhash.xxh64_intdigest(x) for x in keys), np.uint64, len(keys))
-                for j in np.flatnonzero(_has(twice.value, _places(h, bits, k))):
-                    suspects[owner[j]].append(keys[j].decode())
-            yield pd.DataFrame({"key": p["key"].to_numpy(), "text": texts, "n_lines": [t.count("\n") + 1 for t in texts], "suspects": suspects})
+            h = _hashes(keys)
+            hit = np.flatnonzero((h % np.uint64(passes) == turn) & _has(shared.value, _places(h, bits, k))) if keys else ()
+            suspects = [x.as_py() or [] for x in b["suspects"]]
+            for j in hit:
+                suspects[owner[j]].append(keys[j].decode())
+            yield pa.RecordBatch.from_arrays([b["key"], b["text"], pa.array(suspects, pa.list_(pa.string()))], ["key", "text", "suspects"])
         give_back()
 
-    marked = materialise(rows.mapInPandas(mark, f"key {docs.schema[key].dataType.simpleString()}, text string, n_lines long, suspects array<string>"), "marked")
+    return rows.mapInArrow(mark, f"key {rows.schema['key'].dataType.simpleString()}, text string, suspects array<string>")
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 40, documents: int = 5, k: int = 4, max_bits: int = 1 << 30, bits_per_document: int = 256) -> DataFrame:
+    """key, kept (the text that stays), n_lines, n_dropped for each row of docs.
+
+    A line whose key has at least ``least`` code points and stands in at least ``documents`` documents stays only in the
+    largest key that holds it. bits_per_document sizes the filters; beyond max_bits there are more passes."""
+    rows = small_batches(docs).select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    wanted = rows.count() * bits_per_document
+    passes = max(1, -(-wanted // max_bits))
+    bits = 1 << max(6, min(max_bits.bit_length() - 1, max(20, (wanted // passes).bit_length())))
+    marked = rows.withColumn("suspects", F.array().cast("array<string>"))
+    for turn in range(passes):
+        marked = materialise(_with_suspects(marked, seen_twice(rows, "text", least, bits, k, turn, passes), least, bits, k, turn, passes), "marked")
+    marked = marked.withColumn("n_lines", F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + F.lit(1).cast("long"))
     held = marked.select("key", F.explode("suspects").alias("line")).distinct()
     repeated = held.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.max("key").alias("keeper")).where(F.col("n") >= documents)
     drops = held.join(repeated, "line").where(~F.col("key").eqNullSafe(F.col("keeper"))).groupBy("key").agg(F.collect_list("line").alias("drop"))
