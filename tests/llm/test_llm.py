@@ -7,12 +7,14 @@ import hashlib
 import os
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -304,15 +306,79 @@ def test_second_half_of_a_digest_does_not_follow_from_the_first(spark):
         assert second != h(b"wide", h(first.to_bytes(8, "little"), first))
 
 
-def test_next_in_order_wraps_and_spans_buckets(spark):
-    ids = [3, 4, 5, 900, 901, 10_000, 77_000]
-    d = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
-    for per in (1, 2, 100):
-        got = {r.doc_id: r.next_text for r in fingerprint.next_in_order(d, "doc_id", ["text"], per).collect()}
-        down = sorted(ids, reverse=True)
-        assert got == {k: f"t{down[(n + 1) % len(down)]}" for n, k in enumerate(down)}
-    assert fingerprint.next_in_order(d.limit(1), "doc_id", ["text"]).first().next_text == "t3"
-    assert fingerprint.next_in_order(d.limit(0), "doc_id", ["text"]).count() == 0
+def canonical_by_hand(t):
+    t = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t or "").casefold())
+    return regex.sub(r"[\s\x85\p{Z}]+", " ", t).strip(" ")
+
+
+def compared_by_hand(rows, suffix=False):
+    """rows (key, text) with ids that tell them apart; what compare_in_order returns but for the ids' own order."""
+    h = xxhash.xxh64_intdigest
+    wide = lambda t: f"{h(canonical_by_hand(t).encode(), 42):016x}{h(canonical_by_hand(t).encode(), h(b'wide', 42)):016x}"
+    down = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    out = []
+    for n, (k, t) in enumerate(down):
+        t, after = t or "", down[(n + 1) % len(down)][1] or ""
+        half = len(t) // 2
+        e = t[: len(t) - half] + after[:half]
+        same = lambda a, b: float(canonical_by_hand(a) == canonical_by_hand(b))
+        out.append((k, len(t), hashlib.sha256(e.encode()).hexdigest(), wide(t), wide(e), same(t, e), same(t, after)))
+    return sorted(out, key=str)
+
+
+def ordered_rows():
+    rng = random.Random(6)
+    texts = ["Straße  X", "STRASSE x", "", None, "a", "A", "ﬁ é", "x" * 30_000, "b\tc", "same text here", "same text here", "Same  Text here"]
+    ids = [3, 4, 5, 900, 901, 10_000, 77_000, 2**62, 2**60 + 1, 2**60 + 2, 2**60 + 3, None, *range(-60, 0)]
+    return [(k, texts[n] if n < len(texts) else prose(rng, n)) for n, k in enumerate(ids)]
+
+
+@pytest.mark.parametrize("per", [1, 3, 64])
+def test_fingerprints_of_edits_equal_brute_force(spark, per):
+    rows = ordered_rows()
+    d = corpus(spark, [(k, t, None, None) for k, t in rows])
+    assert sorted(map(tuple, fingerprint.compare_in_order(d, per_bucket=per).collect()), key=str) == compared_by_hand(rows)
+    assert sorted(map(tuple, fingerprint.compare_in_order(d.where("doc_id = 3"), per_bucket=per).collect()), key=str) == compared_by_hand(rows[:1])
+    assert fingerprint.compare_in_order(d.limit(0), per_bucket=per).count() == 0
+
+
+def test_next_of_hot_and_named_ids(spark):
+    """Every document follows one other, also where most have no id or the same; ids may be strings."""
+    d = spark.createDataFrame([(None if n % 3 else 7, f"{n:03}{n:03}") for n in range(90)], "doc_id long, text string")
+    got = fingerprint.compare_in_order(d, per_bucket=4).collect()
+    assert len(got) == 90 and sum(r.doc_id == 7 for r in got) == 30
+    pairs = {hashlib.sha256(f"{a:03}{b:03}".encode()).hexdigest(): (a, b) for a in range(90) for b in range(90)}
+    after, at, seen = dict(pairs[r.edited_sha256] for r in got), 0, []
+    while at not in seen:
+        seen.append(at)
+        at = after[at]
+    assert len(seen) == 90 and sum((a % 3 == 0) != (b % 3 == 0) for a, b in after.items()) == 2
+    named = spark.createDataFrame([(f"k{n:03}", f"text number {n}") for n in range(50)], "doc_id string, text string")
+    want = {f"k{n:03}": hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest() for n in range(50) for a, b in [(f"text number {n}", f"text number {(n - 1) % 50}")]}
+    assert {r.doc_id: r.edited_sha256 for r in fingerprint.compare_in_order(named, per_bucket=4).collect()} == want
+
+
+def test_colliding_digests_of_edits_are_told_apart(spark, monkeypatch):
+    rows = ordered_rows()
+    d = corpus(spark, [(k, t, None, None) for k, t in rows])
+    want = compared_by_hand(rows)
+    monkeypatch.setattr(fingerprint, "wide_hash", lambda c: F.substring(F.sha2(c, 256), 1, 1))
+    got = sorted(map(tuple, fingerprint.compare_in_order(d, per_bucket=3).collect()), key=str)
+    assert [(*r[:3], *r[5:]) for r in got] == [(*r[:3], *r[5:]) for r in want]
+    names = {}
+    for g, w in zip(got, want, strict=True):
+        for a, b in ((g[3], w[3]), (g[4], w[4])):
+            assert names.setdefault(a, b) == b
+    assert len(names) == len(set(names.values()))
+
+
+def test_fingerprint_query_equals_brute_force(spark):
+    path = "/root/testdata/sf0.001"
+    if not os.path.isdir(path):
+        pytest.skip("no driver tables here")
+    rows = pq.read_table(f"{path}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    got = fingerprint.query(spark, path).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next").collect()
+    assert sorted(map(tuple, got), key=str) == compared_by_hand([(r["doc_id"], r["text"]) for r in rows])
 
 
 # --- op7 ---
