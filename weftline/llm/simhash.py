@@ -7,15 +7,21 @@ out: every pair within the radius r collides in some table, and no link is lost.
 
 In a bucket, no pairs are enumerated: a search from one fingerprint over those not yet reached links each to one that
 reached it, so a bucket of g fingerprints emits under g links and keeps its components whole. A bucket of many
-fingerprints is first cut by further tables over the bits that its own table left out.
-
-Null and empty texts, and those of white space, have fingerprint zero and are linked like any other. A null doc_id
-takes part in links; a component's id is its smallest doc_id that isn't null. Repeated rows keep a row each.
+fingerprints never reaches a task as one group: its rows get the keys of all tables over the bits that its own table left
+out, which by the same argument loses no pair in it, and so on. Three tables leave some 8 of the 64 bits open, so groups
+are bounded then whatever the corpus.
+
+Null and empty texts, and those of white space, have fingerprint zero and are linked like any other; texts of any length
+are read whole. A null doc_id takes part in links; a component's id is its smallest doc_id that isn't null. Repeated rows
+keep a row each. An empty table gives an empty one. Extra columns aren't read, so their names don't matter. However many
+documents share a fingerprint, it is searched once; the join that hands labels back has one row a fingerprint on one
+side, so that its hot keys can be split.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -115,33 +121,29 @@ def _reach(fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
             yield from ((int(at), int(h)) for h in hit)
 
 
-def links(prints: DataFrame, radius: int = 3, seed: int = 7, large: int = 4096) -> DataFrame:
+def links(prints: DataFrame, radius: int = 3, seed: int = 7, large: int = 4096, levels: int = 4) -> DataFrame:
     """(u, v) links between the distinct longs of prints.fp: enough that components under "radius or fewer differing
     bits" come out whole. Not every close pair is listed, as its two ends are linked anyway."""
-    masks = covering_masks(radius, seed)
-
-    @F.pandas_udf("array<struct<t:int,key:long>>")
-    def keys(s: pd.Series) -> pd.Series:
-        x = s.to_numpy().view(np.uint64)[:, None] & masks[None, :]
-        return pd.Series([[{"t": t, "key": int(k)} for t, k in enumerate(row)] for row in x.view(np.int64)])
+    masks = F.array(*[F.lit(int(m)) for m in covering_masks(radius, seed).view(np.int64)])
 
     def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-        fps, out = np.unique(pdf["fp"].to_numpy()).view(np.uint64), []
-        groups = [fps]
-        if len(fps) > large:  # the bits that this table left out differ in at most radius places: cover them too
-            groups = []
-            for m in masks:
-                kept = fps & (m & ~masks[int(pdf["t"].iloc[0])])
-                order = np.argsort(kept, kind="stable")
-                groups += np.split(fps[order], np.flatnonzero(np.diff(kept[order])) + 1)
-        for g in groups:
-            out += [(g[a], g[b]) for a, b in _reach(g, radius)] if len(g) > 1 else []
-        found = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
+        fps = np.unique(pdf["fp"].to_numpy()).view(np.uint64)
+        found = np.array([(fps[a], fps[b]) for a, b in _reach(fps, radius)], np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"u": found[:, 0], "v": found[:, 1]})
 
-    keyed = prints.select("fp", F.explode(keys("fp")).alias("k")).select("fp", "k.t", "k.key")
-    size = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")  # most buckets hold one
-    return keyed.join(size, ["t", "key"]).groupBy("t", "key").applyInPandas(bucket, "u long, v long").distinct()
+    open_, groups = prints.select("fp", F.lit(0).cast("long").alias("group"), F.lit(0).cast("long").alias("used")), []
+    for level in range(levels):  # used: the bits that a group's members agree in by its tables
+        keyed = open_.select("fp", "group", "used", F.posexplode(masks).alias("t", "mask")).withColumn("mask", F.col("mask").bitwiseAND(F.bitwise_not("used")))
+        keyed = keyed.select("fp", F.xxhash64("group", "t", F.col("fp").bitwiseAND(F.col("mask"))).alias("group"), F.col("used").bitwiseOR(F.col("mask")).alias("used"))
+        size = keyed.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # most buckets hold one
+        shared = materialise(keyed.join(size, "group"), "buckets")
+        last = level == levels - 1
+        groups.append(shared if last else shared.where(F.col("n") <= large))
+        open_ = shared.where(F.col("n") > large)
+        if last or open_.isEmpty():
+            break
+    members = reduce(DataFrame.union, [g.select("group", "fp") for g in groups])
+    return members.groupBy("group").applyInPandas(bucket, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
