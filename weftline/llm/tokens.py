@@ -36,7 +36,7 @@ from . import coder
 from .common import give_back, narrow, small_batches, table
 
 #: Bytes of text of a chunk, about; pieces in one string for the tokenizer, and strings in one call.
-CHUNK, JOINED, CALL = 1 << 24, 256, 64
+CHUNK, JOINED, CALL = 1 << 23, 256, 64
 #: Pieces of letters that Unicode normalisation leaves alone, without and with those of Latin-1; what punctuation is cut from.
 ASCII, LATIN, BEFORE = r"^[a-z]+$", r"^[a-zA-Z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+$", r"[a-zA-Z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]$"
 #: How special tokens begin. They are matched as they are written, and whole.
