@@ -173,3 +173,15 @@ TRANSFORMERS = {
     "digits_only": digits_only, "alphanumeric_only": alphanumeric_only, "e164": e164, "state_code": state_code, "street_suffix": street_suffix, "company_suffix": company_suffix,
     "missing_sentinels": missing_sentinels, "soundex": lambda c: F.soundex(c),
 }
+
+
+def valid_collection(x) -> Column:
+    """A letter, then letters, digits and underscores; at most 256 in all."""
+    return F.coalesce(_c(x).rlike(r"^[a-zA-Z][a-zA-Z0-9_]{0,255}$"), F.lit(False))
+
+
+def valid_field(x, nested: bool = True) -> Column:
+    """Letters, digits and underscores, not a digit first; parts between dots if nested. At most 256 in all."""
+    part = "[a-zA-Z_][a-zA-Z0-9_]*"
+    fits = _c(x).rlike(f"^{part}(\\.{part})*$" if nested else f"^{part}$")
+    return F.coalesce(fits & (F.length(_c(x)) <= 256), F.lit(False))

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
-from ..functions.expressions import canonical_pair
+from ..functions.expressions import canonical_pair, round_half_up
+from ..scratch import materialise
 from .predicates import apply_filters, computed, predicate
 from .ranking import global_rank
 
@@ -142,15 +143,29 @@ def postings(df: DataFrame, key: str, text: str | Column) -> DataFrame:
     return words.select("doc", F.size("w").alias("doc_len"), F.explode("w").alias("token")).groupBy("doc", "token", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_scores(queries: DataFrame, documents: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(d1, d2, bm25) of postings of queries against postings of documents; each query token counts once."""
+def bm25_scores(queries: DataFrame, documents: DataFrame, k1: float = 1.2, b: float = 0.75, over: float = 0.0) -> DataFrame:
+    """(d1, d2, bm25) of postings of queries against postings of documents; each query token counts once. Of scores over ``over``
+    all are listed, and others may be left out.
+
+    Postings meet by token, and very common tokens would bring nearly all documents together. So a query's tokens are taken from
+    the least weight up, by the most that a token adds to any document: as long as these sum up to no more than ``over``, no
+    document gets there by them alone. Only the tokens beyond find candidates, which are then scored by all tokens."""
     n, avg_len = documents.select("doc", "doc_len").distinct().agg(F.count(F.lit(1)), F.avg("doc_len")).first()
     df = documents.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.lit(avg_len)))
     weighted = documents.join(df, "token").select("token", F.col("doc").alias("d2"), (idf * tf).alias("w"))
     asked = queries.select(F.col("doc").alias("d1"), "token")
-    return asked.join(weighted, "token").where("d1 <> d2").groupBy("d1", "d2").agg(F.sum("w").alias("bm25"))
+    if over <= 0:
+        return asked.join(weighted, "token").where("d1 <> d2").groupBy("d1", "d2").agg(F.sum("w").alias("bm25"))
+    weighted = materialise(weighted, "weights")
+    most = weighted.groupBy("token").agg(F.max("w").alias("most"))
+    rising = Window.partitionBy("d1").orderBy("most", "token").rowsBetween(Window.unboundedPreceding, 0)
+    asked = asked.join(most, "token")
+    finding = asked.withColumn("sum", F.sum("most").over(rising)).where(F.col("sum") > over).select("d1", "token")
+    met = finding.join(weighted.select("token", "d2"), "token").where("d1 <> d2").select("d1", "d2").distinct()
+    scored = met.join(asked.select("d1", "token"), "d1").join(weighted, ["token", "d2"]).groupBy("d1", "d2").agg(F.sum("w").alias("bm25"))
+    return scored.where(F.col("bm25") > over)
 
 
 def top_k(scored: DataFrame, by: str, score: str, k: int, tie: str) -> DataFrame:
@@ -163,7 +178,7 @@ def block_bm25(df: DataFrame, key: str, text: str | Column, threshold: float = 2
     """Directed top-k: for each record the others that its tokens rank highest; (d1, d2, bm25, rank). Both directions may occur;
     ``orchestrate`` makes pairs of them."""
     post = postings(df, key, text)
-    found = bm25_scores(post, post).where(F.col("bm25") > threshold)
+    found = bm25_scores(post, post, over=threshold).withColumn("bm25", round_half_up("bm25", 6)).where(F.col("bm25") > threshold)  # rounded before ranks: sums differ in their last digits
     if same:
         own = df.select(F.col(key).cast("string").alias("k"), F.col(same).alias("v"))
         found = found.join(own.select(F.col("k").alias("d1"), F.col("v").alias("v1")), "d1").join(own.select(F.col("k").alias("d2"), F.col("v").alias("v2")), "d2").where(F.col("v1").eqNullSafe(F.col("v2"))).drop("v1", "v2")
@@ -174,7 +189,7 @@ def block_hybrid(df: DataFrame, key: str, text: str, bm25_threshold: float = 2.0
     """BM25 candidates rescored with Levenshtein similarity: bm25 * w + lev * (1 - w), both thresholds, top k; d1 < d2."""
     post = postings(df, key, text)
     own = df.select(F.col(key).cast("string").alias("k"), F.upper(F.trim(F.coalesce(F.col(text), F.lit("")))).alias("t"))
-    found = bm25_scores(post, post).where((F.col("bm25") > bm25_threshold) & (F.col("d1") < F.col("d2")))
+    found = bm25_scores(post, post, over=bm25_threshold).withColumn("bm25", round_half_up("bm25", 6)).where((F.col("bm25") > bm25_threshold) & (F.col("d1") < F.col("d2")))
     found = found.join(own.select(F.col("k").alias("d1"), F.col("t").alias("t1")), "d1").join(own.select(F.col("k").alias("d2"), F.col("t").alias("t2")), "d2")
     found = found.withColumn("lev", S.levenshtein("t1", "t2", 0.0)).where(F.col("lev") >= levenshtein_threshold)
     return top_k(found.withColumn("combined", F.col("bm25") * bm25_weight + F.col("lev") * (1 - bm25_weight)), "d1", "combined", limit, "d2").drop("t1", "t2")
@@ -197,8 +212,10 @@ def _signs(df: DataFrame, vector: str, key: str, tables: int, bits: int, seed: i
     return rows.select("_key", "v", F.posexplode(codes("v")).alias("table", "bucket"))
 
 
-def block_lsh(df: DataFrame, key: str, vector: str, dim: int, tables: int = 10, bits: int = 8, seed: int = 42, same: str | None = None) -> DataFrame:
-    """Pairs that share a bucket of random hyperplane signs in some table; the first such table is kept."""
+def block_lsh(df: DataFrame, key: str, vector: str, dim: int, tables: int = 10, bits: int = 8, seed: int = 42, same: str | None = None, threshold: float | None = None) -> DataFrame:
+    """Pairs that share a bucket of random hyperplane signs in some table; the first such table is kept. With a threshold, only
+    pairs of at least that cosine similarity, which is added. Buckets grow with the records over 2^bits: more records want more
+    bits, and more tables then."""
     coded = _signs(df, vector, key, tables, bits, seed, dim).drop("v")
     if same:
         coded = coded.join(df.select(F.col(key).cast("string").alias("_key"), F.col(same).alias("same")), "_key")
@@ -206,12 +223,19 @@ def block_lsh(df: DataFrame, key: str, vector: str, dim: int, tables: int = 10,
         coded = coded.withColumn("same", F.lit(0))
     a, b = coded.alias("a"), coded.alias("b")
     met = a.join(b, (F.col("a.table") == F.col("b.table")) & (F.col("a.bucket") == F.col("b.bucket")) & F.col("a.same").eqNullSafe(F.col("b.same")) & (F.col("a._key") < F.col("b._key")))
-    return met.groupBy(F.col("a._key").alias("doc1_key"), F.col("b._key").alias("doc2_key")).agg(F.min("a.table").alias("table"))
+    found = met.groupBy(F.col("a._key").alias("doc1_key"), F.col("b._key").alias("doc2_key")).agg(F.min("a.table").alias("table"))
+    if threshold is None:
+        return found
+    own = df.select(F.col(key).cast("string").alias("k"), F.col(vector).alias("v"))
+    found = found.join(own.select(F.col("k").alias("doc1_key"), F.col("v").alias("v1")), "doc1_key").join(own.select(F.col("k").alias("doc2_key"), F.col("v").alias("v2")), "doc2_key")
+    return found.withColumn("similarity", S.cosine("v1", "v2")).where(F.col("similarity") >= threshold).drop("v1", "v2")
 
 
-def block_vector(df: DataFrame, key: str, vector: str, threshold: float = 0.7, limit: int | None = 20, same: str | None = None, blocks_: int = 16) -> DataFrame:
+def block_vector(df: DataFrame, key: str, vector: str, threshold: float = 0.7, limit: int | None = 20, same: str | None = None, block: int = 2000) -> DataFrame:
     """Pairs with cosine similarity at or over the threshold, exactly: normalised vectors meet block by block, as matrix products
-    of bounded size. With ``limit``, each record keeps its best. (doc1_key, doc2_key, similarity)."""
+    of some ``block`` vectors a side. With ``limit``, each record keeps its best. (doc1_key, doc2_key, similarity). The work grows
+    with the square of the vectors; ``nearest`` looks them up in an index instead."""
+    blocks_ = max(1, -(-df.where(F.col(vector).isNotNull()).count() // block))
     unit = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(vector).cast("array<double>").alias("v"), (F.col(same).cast("string") if same else F.lit("")).alias("s"))
     part = unit.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks_)).cast("int"))
     # record block i meets blocks i..n: each pair of blocks is one group

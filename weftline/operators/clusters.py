@@ -98,11 +98,42 @@ def recluster(members: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFra
     return members.join(reached, "cluster_id", "left_anti").unionByName(cluster(region))
 
 
-def repair(members: DataFrame, edges: DataFrame, low: float = 0.5, largest: int = 10_000) -> DataFrame:
+def bridges(size: int, pairs: list[tuple[int, int]]) -> dict[tuple[int, int], tuple[int, int]]:
+    """Of a connected graph: (smaller, larger) ends of each bridge -> nodes and edges on one side of it. One depth-first search:
+    an edge is a bridge if nothing below it reaches above it."""
+    near: list[list[int]] = [[] for _ in range(size)]
+    for a, b in pairs:
+        near[a].append(b)
+        near[b].append(a)
+    order, low, nodes, ends, found = [-1] * size, [0] * size, [1] * size, [len(x) for x in near], {}
+    order[0], count, stack = 0, 1, [(0, -1, iter(near[0]))]
+    while stack:
+        at, above, rest = stack[-1]
+        for x in rest:
+            if order[x] < 0:
+                order[x] = low[x] = count
+                count += 1
+                stack.append((x, at, iter(near[x])))
+                break
+            if x != above:
+                low[at] = min(low[at], order[x])
+        else:
+            stack.pop()
+            if above >= 0:
+                low[above] = min(low[above], low[at])
+                nodes[above] += nodes[at]
+                ends[above] += ends[at]
+                if low[at] > order[above]:
+                    found[min(at, above), max(at, above)] = nodes[at], (ends[at] - 1) // 2
+    return found if count == size else {}
+
+
+def repair(members: DataFrame, edges: DataFrame, low: float = 0.5, most_edges: int = 1_000_000) -> DataFrame:
     """(cluster_id, src, dst, similarity, action) for clusters that are incoherent or hang on a bridge. The weakest unconfirmed edge under
     ``low`` whose loss leaves exactly two parts, both denser than the whole, is to be removed; else the cluster is queued.
-    Clusters of more than ``largest`` members are queued without a test: a test holds one cluster's edges."""
-    suspects = coherence(members, edges).where("low_coherence or possible_bridge").select("cluster_id", "size", "density")
+    A test holds one cluster's edges, and its time grows with their number; clusters of more than ``most_edges`` are queued
+    without a test."""
+    suspects = coherence(members, edges).where("low_coherence or possible_bridge").select("cluster_id", "size", "density", "edge_count")
     flagged = edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max(F.coalesce("confirmed", F.lit(False))).alias("confirmed"))
     rows = inner_edges(members, edges).join(flagged, ["a", "b"]).join(suspects, "cluster_id")
 
@@ -110,38 +141,20 @@ def repair(members: DataFrame, edges: DataFrame, low: float = 0.5, largest: int
         import pandas as pd
 
         size, density = int(pdf["size"].iloc[0]), float(pdf["density"].iloc[0])
+        at = {x: n for n, x in enumerate(sorted({*pdf["a"], *pdf["b"]}))}
+        one, two = pdf["a"].map(at), pdf["b"].map(at)
+        cut = bridges(size, list(zip(one, two, strict=True))) if len(at) == size else {}
+        dense = lambda nodes, n: n / (nodes * (nodes - 1) / 2) if nodes > 1 else 1.0
         weak = pdf[(~pdf["confirmed"]) & (pdf["similarity"] < low)].sort_values(["similarity", "a", "b"])
-        pairs = list(zip(pdf["a"], pdf["b"], strict=True))
         for a, b, s in zip(weak["a"], weak["b"], weak["similarity"], strict=True):
-            parent: dict = {}
-
-            def top(x):
-                parent.setdefault(x, x)
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            rest = [p for p in pairs if p != (a, b)]
-            for x in (a, b):
-                top(x)
-            for x, y in rest:
-                parent[top(x)] = top(y)
-            parts: dict = {}
-            for x in list(parent):
-                parts.setdefault(top(x), set()).add(x)
-            if len(parts) == 2 and sum(map(len, parts.values())) == size:
-                dense = []
-                for p in parts.values():
-                    n = len(p) * (len(p) - 1) / 2
-                    dense.append(sum(x in p and y in p for x, y in rest) / n if n else 1.0)
-                if all(d > density for d in dense):
-                    return pd.DataFrame({"cluster_id": pdf["cluster_id"].iloc[:1], "src": [a], "dst": [b], "similarity": [s], "action": ["remove_edge"]})
+            nodes, n = cut.get((min(at[a], at[b]), max(at[a], at[b])), (0, 0))
+            if nodes and min(dense(nodes, n), dense(size - nodes, len(pdf) - 1 - n)) > density:
+                return pd.DataFrame({"cluster_id": pdf["cluster_id"].iloc[:1], "src": [a], "dst": [b], "similarity": [s], "action": ["remove_edge"]})
         return pd.DataFrame({"cluster_id": pdf["cluster_id"].iloc[:1], "src": [None], "dst": [None], "similarity": [None], "action": ["queue"]})
 
     schema = f"cluster_id {members.schema['cluster_id'].dataType.simpleString()}, src string, dst string, similarity double, action string"
-    queued = suspects.where(F.col("size") > largest).select("cluster_id", F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit("queue"))
-    return rows.where(F.col("size") <= largest).groupBy("cluster_id").applyInPandas(test, schema).union(queued)
+    queued = suspects.where(F.col("edge_count") > most_edges).select("cluster_id", F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit("queue"))
+    return rows.where(F.col("edge_count") <= most_edges).groupBy("cluster_id").applyInPandas(test, schema).union(queued)
 
 
 def collective(pairs: DataFrame, neighbours: DataFrame, score: Callable[[DataFrame, DataFrame], DataFrame], threshold: float, max_rounds: int = 5) -> tuple[DataFrame, str, int]:

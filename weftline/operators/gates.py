@@ -125,3 +125,14 @@ def incremental_scores(records: DataFrame, base: DataFrame, key: str, fields: li
     scored = met.select("new_key", "base_key", F.when(n > 0, total / n).otherwise(0.0).alias("score")).where(F.col("score") >= threshold)
     w = Window.partitionBy("new_key").orderBy(F.desc("score"), "base_key")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def parse_verdict(raw: Column | str) -> Column:
+    """struct<decision, confidence, reasoning> of a verifier's answer: a JSON object, alone or in a Markdown fence. Null where there is
+    none, or none with a decision."""
+    text = F.col(raw) if isinstance(raw, str) else raw
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    body = F.trim(F.when(text.rlike(r"(?s)```.*?```"), fenced).otherwise(text), F.lit(" \n\r\t"))
+    whole = F.when(F.try_parse_json(body).isNotNull() & body.startswith("{"), body)  # from_json would take the start of a broken object
+    found = F.from_json(whole, "decision string, confidence double, reasoning string")
+    return F.when(found["decision"].isNotNull(), found)

@@ -99,8 +99,9 @@ def em_categorical(g: np.ndarray, levels: list[int], weights: np.ndarray | None
 
 
 def random_agreement(df: DataFrame, key: str, fields: dict[str, Column], n: int = 2000, seed: int = 42) -> DataFrame:
-    """(field, n, u): how often random pairs agree, floored at 1 / (n + 1). Pairs are neighbours in a hash order of n records."""
-    one = df.select(F.xxhash64(F.lit(seed), F.col(key).cast("string")).alias("h"), F.col(key).cast("string").alias("k"), *[c.cast("string").alias(f) for f, c in fields.items()]).orderBy("h", "k").limit(n)
+    """(field, n, u): how often random pairs agree, floored at 1 / (n + 1). Pairs are neighbours in the order of a seeded digest of
+    n records' keys."""
+    one = df.select(F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string"))).alias("h"), F.col(key).cast("string").alias("k"), *[c.cast("string").alias(f) for f, c in fields.items()]).orderBy("h", "k").limit(n)
     w = Window.partitionBy(F.lit(0)).orderBy("h", "k")  # at most n rows
     met = one.select(*[F.when(F.col(f).isNotNull() & F.lead(f).over(w).isNotNull(), (F.col(f) == F.lead(f).over(w)).cast("int")).alias(f) for f in fields])
     return met.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("g")) for f in fields])).alias("x")).groupBy("x.field").agg(F.count("x.g").alias("n"), F.greatest(F.avg("x.g"), 1 / (F.count("x.g") + 1)).alias("u"))
@@ -152,20 +153,26 @@ def otsu(hist: np.ndarray, low: float, high: float) -> float | None:
     """The cut with the greatest between-class variance."""
     if len(hist) < 2:
         return None
-    width = (high - low) / len(hist)
-    mid = low + (np.arange(len(hist)) + 0.5) * width
+    width, hist = (high - low) / len(hist), np.asarray(hist, np.int64)
+    mid = 2 * np.arange(len(hist)) + 1  # in halves of a bin: sums are exact, and cuts with nothing between them tie
     w0 = np.cumsum(hist)[:-1]
     w1 = hist.sum() - w0
     s0 = np.cumsum(hist * mid)[:-1]
     s1 = (hist * mid).sum() - s0
     ok = (w0 > 0) & (w1 > 0)
-    variance = np.where(ok, w0 * w1 * (s0 / np.maximum(w0, 1) - s1 / np.maximum(w1, 1)) ** 2, -1.0)
+    apart = s0 / np.maximum(w0, 1) - s1 / np.maximum(w1, 1)
+    variance = np.where(ok, w0 * w1.astype(float) * apart * apart, -1.0)
     return None if not ok.any() else float(low + (int(variance.argmax()) + 1) * width)
 
 
+def _smooth(hist: np.ndarray) -> np.ndarray:
+    """Each bin and its neighbours together: whole numbers, so that equal ones compare equal."""
+    return np.convolve(hist, np.ones(3, np.int64), mode="same")
+
+
 def valley_depth(hist: np.ndarray, low: float, high: float, cut: float) -> float:
     """How deep the smoothed histogram is at the cut, against the lower of the peaks on either side; 0 for none."""
-    smooth = np.convolve(hist, np.ones(3) / 3, mode="same")
+    smooth = _smooth(hist)
     at = min(len(hist) - 1, max(0, int((cut - low) / max(high - low, 1e-12) * len(hist))))
     peak = min(smooth[: at + 1].max(initial=0), smooth[at:].max(initial=0))
     return 0.0 if peak <= 0 else max(0.0, float(1 - smooth[at] / peak))
@@ -181,7 +188,7 @@ def auto_threshold(scores: DataFrame, column: str = "score", fallback: float = 0
 
 def comparison_bands(hist: np.ndarray, low: float, high: float, most: int = 3, mass: float = 0.05) -> list[float]:
     """Up to most - 1 cuts at troughs, deepest first, with enough mass on either side and apart from each other; sorted downwards."""
-    smooth, n, total = np.convolve(hist, np.ones(3) / 3, mode="same"), len(hist), hist.sum()
+    smooth, n, total = _smooth(hist), len(hist), hist.sum()
     found = []
     for i in range(1, n - 1):
         if smooth[i] <= smooth[i - 1] and smooth[i] <= smooth[i + 1]:

@@ -9,6 +9,7 @@ from ..functions.expressions import round_half_up, within_days, within_km
 from ..operators import blocking as B
 from ..operators.predicates import apply_filters, computed, predicate
 from ..sources import readers as R
+from . import sql as Q
 from .common import customers, parts, r, table
 
 QUERIES, ORACLES = {}, {}
@@ -50,7 +51,7 @@ def _(spark, d):
     return R.sample(table(spark, d, "customer"), 10, "c_custkey").select("c_custkey", "c_name")
 
 
-@query("random_sample")
+@query("random_sample", "SELECT c_custkey, c_name FROM customer ORDER BY md5('42' || c_custkey), c_custkey LIMIT 100")
 def _(spark, d):
     return R.sample(table(spark, d, "customer"), 100, "c_custkey", seed=42).select("c_custkey", "c_name")
 
@@ -61,9 +62,9 @@ def _(spark, d):
     return R.lookup(customers(spark, d).withColumn("_key", F.col("key")), keys, ["c_name"])
 
 
-@query("pending_scan", "SELECT CAST(c_custkey AS VARCHAR) AS _key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("pending_scan", "SELECT CAST(c_custkey AS VARCHAR) AS _key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def _(spark, d):
-    done = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("_key")).distinct()
+    done = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").cast("string").alias("_key")).distinct()
     return R.pending(customers(spark, d).select(F.col("key").alias("_key")), done)
 
 
@@ -197,16 +198,13 @@ def _(spark, d):
     return B.orchestrate({"brand": B.block_collect(p, "key", {"brand": "p_brand", "size": "p_size"}), "type": B.block_collect(p, "key", {"type": "p_type", "size": "p_size"})}, "intersection")
 
 
-@query("block_phonetic")
+@query("block_phonetic", pairs_sql("part", "p_partkey", {"x": Q.soundex("split_part(p_type, ' ', 1)"), "y": "p_brand", "z": "p_size"}, "phonetic"))
 def _(spark, d):
     word = F.split_part(F.col("p_type"), F.lit(" "), F.lit(1))
     return slim(B.block_collect(parts(spark, d), "key", {"sound": F.soundex(word), "brand": "p_brand", "size": "p_size"}, "phonetic"))
 
 
-SOUNDEX_SQL = "rpad(upper(left(trim({0}), 1)) || regexp_replace(translate(regexp_replace(substr(upper(trim({0})), 2), '[^BFPVCGJKQSXZDTLMNR]', '', 'g'), 'BFPVCGJKQSXZDTLMNR', '111122222222334556'), '(11+|22+|33+|44+|55+|66+)', '', 'g'), 4, '0')"
-
-
-@query("soundex_simple")
+@query("soundex_simple", f"SELECT CAST(p_partkey AS VARCHAR) AS key, {Q.soundex_simple('p_name')} AS code, {Q.soundex('p_name')} AS standard FROM part")
 def _(spark, d):
     return parts(spark, d).select("key", X.soundex_simple("p_name").alias("code"), F.soundex("p_name").alias("standard"))
 
@@ -222,10 +220,10 @@ NATION = "supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_reg
 
 
 def _places(spark, d):
-    return table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).withColumn("zip", F.lpad((F.col("s_suppkey") * 7919 % 100000).cast("string"), 5, "0"))
+    return table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).withColumn("zip", F.lpad((F.col("s_suppkey") * 7919 % 2500).cast("string"), 5, "0"))
 
 
-for _kind, _by in (("state", {"x": "r_name"}), ("city", {"x": "n_name"}), ("city_state", {"x": "n_name", "y": "r_name"}), ("zip_prefix", {"x": "left(lpad(CAST(s_suppkey * 7919 % 100000 AS VARCHAR), 5, '0'), 3)"})):
+for _kind, _by in (("state", {"x": "r_name"}), ("city", {"x": "n_name"}), ("city_state", {"x": "n_name", "y": "r_name"}), ("zip_prefix", {"x": "left(lpad(CAST(s_suppkey * 7919 % 2500 AS VARCHAR), 5, '0'), 3)"})):
     query(f"block_geo_{_kind}", pairs_sql(NATION, "s_suppkey", _by, f"geographic_{_kind}", high=1000))(lambda spark, d, kind=_kind: slim(B.block_geographic(_places(spark, d), "s_suppkey", kind, "r_name", "n_name", "zip")))
 
 
@@ -249,29 +247,28 @@ def _(spark, d):
     return slim(B.block_address(p, "s_suppkey", "street", "n_name", "r_name", "zip"))
 
 
-BM25 = f"""
-WITH t AS (SELECT CAST(item_id AS VARCHAR) AS doc, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM benchmark),
+def bm25_sql(rows: str, key: str, least: float) -> str:
+    """(d1, d2, bm25) over ``least``, of all records against all."""
+    return f"""
+WITH t AS (SELECT CAST({key} AS VARCHAR) AS doc, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM {rows}),
 p AS (SELECT doc, token, doc_len, count(*) AS tf FROM (SELECT doc, len(w) AS doc_len, unnest(w) AS token FROM t) GROUP BY ALL),
 st AS (SELECT count(*) AS n, avg(doc_len) AS avg_len FROM (SELECT DISTINCT doc, doc_len FROM p)),
 df AS (SELECT token, count(*) AS df FROM p GROUP BY token),
-s AS (SELECT a.doc AS d1, b.doc AS d2, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (b.tf * 2.2 / (b.tf + 1.2 * (0.25 + 0.75 * b.doc_len / avg_len)))) AS bm25
-  FROM p a JOIN p b USING (token) JOIN df USING (token), st WHERE a.doc <> b.doc GROUP BY 1, 2)"""
+s AS (SELECT a.doc AS d1, b.doc AS d2, {r('sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (b.tf * 2.2 / (b.tf + 1.2 * (0.25 + 0.75 * b.doc_len / avg_len))))', 6)} AS bm25
+  FROM p a JOIN p b USING (token) JOIN df USING (token), st WHERE a.doc <> b.doc GROUP BY 1, 2 HAVING bm25 > {least})"""
 
 
-@query("block_bm25", BM25 + f", k AS (SELECT *, row_number() OVER (PARTITION BY d1 ORDER BY {r('bm25', 6)} DESC, d2) AS rank FROM s WHERE bm25 > 2.0) SELECT d1, d2, {r('bm25', 6)} AS bm25, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 20")
+@query("block_bm25", bm25_sql("documents", "doc_id", 300.0) + ", k AS (SELECT *, row_number() OVER (PARTITION BY d1 ORDER BY bm25 DESC, d2) AS rank FROM s) SELECT d1, d2, bm25, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 20")
 def _(spark, d):
-    b = table(spark, d, "benchmark")
-    post = B.postings(b, "item_id", "text")
-    found = B.bm25_scores(post, post).where("bm25 > 2.0").withColumn("bm25", round_half_up("bm25", 6))  # rounded before ranks: sums differ in their last digits
-    return B.top_k(found, "d1", "bm25", 20, "d2")
+    return B.block_bm25(table(spark, d, "documents"), "doc_id", "text", 300.0, 20)
 
 
 # the levenshtein of SQL engines may count bytes: other letters are left out on both sides
 PLAIN = "regexp_replace(text, '[^ -~]', '', 'g')"
 
 
-@query("block_hybrid", BM25.replace("FROM benchmark)", f"FROM (SELECT item_id, {PLAIN} AS text FROM benchmark))") + f""", x AS (SELECT CAST(item_id AS VARCHAR) AS k, upper(trim({PLAIN})) AS t FROM benchmark),
-l AS (SELECT d1, d2, bm25, 1.0 - levenshtein(a.t, b.t)::DOUBLE / greatest(length(a.t), length(b.t)) AS lev FROM s JOIN x a ON d1 = a.k JOIN x b ON d2 = b.k WHERE bm25 > 2.0 AND d1 < d2)
+@query("block_hybrid", bm25_sql(f"(SELECT item_id, {PLAIN} AS text FROM benchmark)", "item_id", 2.0) + f""", x AS (SELECT CAST(item_id AS VARCHAR) AS k, upper(trim({PLAIN})) AS t FROM benchmark),
+l AS (SELECT d1, d2, bm25, 1.0 - levenshtein(a.t, b.t)::DOUBLE / greatest(length(a.t), length(b.t)) AS lev FROM s JOIN x a ON d1 = a.k JOIN x b ON d2 = b.k WHERE d1 < d2)
 SELECT d1, d2, {r('bm25 * 0.2 + lev * 0.8', 6)} AS combined FROM (SELECT *, row_number() OVER (PARTITION BY d1 ORDER BY bm25 * 0.2 + lev * 0.8 DESC, d2) AS n FROM l WHERE lev >= 0.2) WHERE n <= 20""")
 def _(spark, d):
     b = table(spark, d, "benchmark").withColumn("text", F.regexp_replace("text", "[^ -~]", ""))
@@ -291,7 +288,19 @@ def _(spark, d):
     return B.block_vector(table(spark, d, "embeddings"), "vec_id", "embedding", 0.3, None, "label").withColumn("similarity", round_half_up("similarity"))
 
 
-@query("block_lsh")
+def _lsh_sql(dim: int = 64, tables: int = 10, bits: int = 8, seed: int = 42) -> str:
+    """The same planes, written out."""
+    import numpy as np
+
+    planes = np.random.RandomState(seed).randn(tables * bits, dim)
+    rows = ", ".join(f"({i}, [{', '.join(map(repr, p.tolist()))}])" for i, p in enumerate(planes))
+    return f"""
+WITH planes(i, p) AS (VALUES {rows}),
+coded AS (SELECT CAST(vec_id AS VARCHAR) AS k, i // {bits} AS t, sum(CASE WHEN list_inner_product(embedding::DOUBLE[], p) >= 0 THEN 1 << (i % {bits}) ELSE 0 END) AS bucket FROM embeddings, planes GROUP BY ALL)
+SELECT a.k AS doc1_key, b.k AS doc2_key, CAST(min(a.t) AS INTEGER) AS "table" FROM coded a JOIN coded b USING (t, bucket) WHERE a.k < b.k GROUP BY 1, 2"""
+
+
+@query("block_lsh", _lsh_sql())
 def _(spark, d):
     return B.block_lsh(table(spark, d, "embeddings"), "vec_id", "embedding", 64)
 
@@ -317,7 +326,7 @@ def _(spark, d):
     return B.prefix_candidates(s, n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("k"), "n_name"), "k", ["n_name"])
 
 
-@query("unresolved_filter", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("unresolved_filter", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def _(spark, d):
-    e = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("src"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("dst"))
+    e = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").cast("string").alias("src"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("dst"))
     return B.unresolved(table(spark, d, "customer"), "c_custkey", e).select("c_custkey")

@@ -19,6 +19,7 @@ from ..operators.predicates import predicate
 from ..scratch import shared_folder
 from ..sources import readers as R
 from ..sources import writers as W
+from . import sql as Q
 from .blocking_queries import pairs_sql
 from .common import COMPONENTS, SCORED, candidates, customers, edges, members, parts, r, scored, table
 
@@ -180,7 +181,7 @@ def _(spark, d):
     return B.block_ngram(s, "s_suppkey", "n_name", None).select("doc1_key", "doc2_key", "method", "block_size")
 
 
-@query("block_phonetic_name")
+@query("block_phonetic_name", pairs_sql("nation JOIN supplier ON s_nationkey = n_nationkey", "s_suppkey", {"x": Q.soundex("n_name")}, "phonetic", high=None))
 def _(spark, d):
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return B.block_phonetic(s, "s_suppkey", "n_name", max_size=None).select("doc1_key", "doc2_key", "method", "block_size")
@@ -219,9 +220,9 @@ def _(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1%')")
 def _(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_orderpriority like '1%'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("best_match", f"WITH {SCORED} SELECT doc1_key, doc2_key, score FROM (SELECT *, row_number() OVER (PARTITION BY doc1_key ORDER BY score DESC, doc2_key) AS n FROM scored) WHERE n = 1")
@@ -324,14 +325,15 @@ def _(spark, d):
     return scored(spark, d).select("doc1_key", "doc2_key", L.gamma(F.col("score")).alias("g"), L.gamma_level(F.col("score"), [0.9, 0.8]).alias("level"))
 
 
-@query("comparison_bands")
+@query("comparison_bands", f"WITH {SCORED}, {Q.HISTOGRAM}, {Q.BANDS} SELECT {r('band', 6)} AS band FROM bands")
 def _(spark, d):
-    return spark.createDataFrame([(b,) for b in L.comparison_bands(*L.score_bins(scored(spark, d)))], "band double")
+    return spark.createDataFrame([(b,) for b in L.comparison_bands(*L.score_bins(scored(spark, d)))], "band double").select(round_half_up("band", 6).alias("band"))
 
 
-@query("threshold_auto")
+@query("threshold_auto", f"WITH {SCORED}, {Q.HISTOGRAM} SELECT {r('CASE WHEN depth >= 0.15 THEN cut ELSE 0.8 END', 6)} AS threshold, {r('depth', 6)} AS depth, depth >= 0.15 AS accepted FROM depth")
 def _(spark, d):
-    return spark.createDataFrame([L.auto_threshold(scored(spark, d))], "threshold double, depth double, accepted boolean")
+    found = spark.createDataFrame([L.auto_threshold(scored(spark, d))], "threshold double, depth double, accepted boolean")
+    return found.withColumns({c: round_half_up(c, 6) for c in ("threshold", "depth")})
 
 
 # --- review ---

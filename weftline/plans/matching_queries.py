@@ -15,6 +15,7 @@ from ..operators import golden as O
 from ..operators import learning as L
 from ..operators import linkage as K
 from ..operators import scoring as P
+from . import sql as Q
 from .common import COMPONENTS, SCORED, customers, edges, members, parts, r, scored, table
 
 QUERIES, ORACLES = {}, {}
@@ -68,7 +69,7 @@ def _(spark, d):
     return _brand_pairs(spark, d).select("doc1_key", "doc2_key", S.sequence_ratio("x", "y").alias("score"))
 
 
-@query("alg_phonetic")
+@query("alg_phonetic", f"WITH {BRAND_PAIRS} SELECT doc1_key, doc2_key, CASE WHEN {Q.soundex_simple('x')} = {Q.soundex_simple('y')} THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM bp")
 def _(spark, d):
     return _brand_pairs(spark, d).select("doc1_key", "doc2_key", S.phonetic_equal("x", "y").alias("score"))
 
@@ -149,7 +150,10 @@ def _(spark, d):
     return _fs(spark, d).select("doc1_key", "doc2_key", F.col("steps")[0]["level"].alias("name_level"), F.col("steps")[1]["level"].alias("type_level"))
 
 
-@query("score_fs_tf")
+@query("score_fs_tf", f"""
+WITH {BRAND_PAIRS}, tf AS (SELECT p_name AS v, count(*)::DOUBLE / (SELECT count(*) FROM part WHERE p_name <> '') AS f FROM part WHERE p_name <> '' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 100),
+w AS (SELECT doc1_key, doc2_key, CASE WHEN {LEV.format('x', 'y')} >= 0.8 THEN CASE WHEN x = y AND x <> '' AND f IS NOT NULL THEN ln(0.9 / greatest(f, 1e-6)) ELSE ln(0.9 / 0.05) END ELSE ln(0.1 / 0.95) END AS llr FROM bp LEFT JOIN tf ON v = x)
+SELECT doc1_key, doc2_key, {r('llr + 10')} AS llr_plus_10, {r('1 / (1 + exp(-(llr + ln(0.1 / 0.9))))')} AS probability FROM w""")
 def _(spark, d):
     tf = {x["value"]: x["relative_frequency"] for x in L.term_frequencies(parts(spark, d), ["p_name"]).collect()}
     llr, p, _ = P.fellegi_sunter([P.FieldModel("p_name", 0.9, 0.05, 0.8, tf=tf)], {"p_name": S.levenshtein("x", "y")}, {"p_name": (F.col("x"), F.col("y"))})
@@ -265,9 +269,19 @@ def _(spark, d):
     return K.match_best(table(spark, d, "supplier"), table(spark, d, "customer"), "s_suppkey", "c_custkey", {("s_name", "c_name"): 1.0}, [("s_nationkey", "c_nationkey")], 0.4).withColumn("score", round_half_up("score"))
 
 
-@query("xmatch_bm25")
+@query("xmatch_bm25", f"""
+WITH sp AS (SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS k, unnest(regexp_extract_all(lower(s_name), '[a-z0-9]+')) AS token FROM supplier),
+cd AS (SELECT CAST(c_custkey AS VARCHAR) AS k, regexp_extract_all(lower(c_name), '[a-z0-9]+') AS w FROM customer),
+cp AS (SELECT k, token, n, count(*) AS tf FROM (SELECT k, len(w) AS n, unnest(w) AS token FROM cd) GROUP BY ALL),
+st AS (SELECT count(DISTINCT k) AS docs, avg(n) AS mean FROM (SELECT DISTINCT k, n FROM cp)), df AS (SELECT token, count(*) AS df FROM cp GROUP BY 1),
+b AS (SELECT sp.k AS a, cp.k AS b, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)))) AS bm25 FROM sp JOIN cp USING (token) JOIN df USING (token), st GROUP BY 1, 2),
+m AS (SELECT a AS source_key, b AS target_key, 0.7 * (1.0 - levenshtein(upper(s_name), upper(c_name))::DOUBLE / greatest(length(s_name), length(c_name))) + 0.3 * bm25 / (1 + bm25) AS score
+  FROM b JOIN supplier ON a = CAST(s_suppkey AS VARCHAR) JOIN customer ON b = CAST(c_custkey AS VARCHAR) WHERE s_nationkey = c_nationkey)
+SELECT source_key, target_key, {r('score', 6)} AS score FROM (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY score DESC, target_key) AS n FROM m WHERE score >= 0.2) WHERE n = 1""")
 def _(spark, d):
-    return K.match_best(table(spark, d, "supplier"), table(spark, d, "customer"), "s_suppkey", "c_custkey", {("s_name", "c_name"): 1.0}, [("s_nationkey", "c_nationkey")], 0.2, bm25=("s_name", "c_name"), bm25_weight=0.3)
+    s, c = table(spark, d, "supplier"), table(spark, d, "customer")
+    found = K.match_best(s, c, "s_suppkey", "c_custkey", {("s_name", "c_name"): 1.0}, [("s_nationkey", "c_nationkey")], 0.2, bm25=("s_name", "c_name"), bm25_weight=0.3)
+    return found.withColumn("score", round_half_up("score", 6))
 
 
 @query("hub_resolve", f"""
@@ -277,16 +291,20 @@ SELECT CAST(s_suppkey AS VARCHAR) AS mention, hub, score, second, CASE WHEN scor
 def _(spark, d):
     s, c = table(spark, d, "supplier"), table(spark, d, "customer")
     cand = s.join(c, F.col("s_nationkey") == F.col("c_nationkey")).select(F.col("s_suppkey").cast("string").alias("mention"), F.col("c_custkey").cast("string").alias("hub"), round_half_up(1.0 - F.least(F.lit(1.0), F.abs(F.col("s_acctbal") - F.col("c_acctbal")) / 1000.0)).alias("score"))
-    return K.resolve_to_hub(s.select(F.col("s_suppkey").cast("string").alias("mention")), c, cand)
+    return K.resolve_to_hub(s.select(F.col("s_suppkey").cast("string").alias("mention")), cand)
 
 
-@query("graph_link_names", "WITH s AS (SELECT a.n_name AS mention, b.n_name AS entity, jaro_winkler_similarity(lower(a.n_name || 's'), lower(b.n_name)) AS s FROM nation a, nation b WHERE left(lower(a.n_name), 1) = left(lower(b.n_name), 1) OR right(lower(a.n_name || 's'), 1) = right(lower(b.n_name), 1)) SELECT mention || 's' AS mention, entity FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY s DESC, entity) AS n FROM s WHERE s >= 0.7) WHERE n = 1")
+@query("graph_link_names", """
+WITH s AS (SELECT a.n_name || 's' AS mention, b.n_name AS entity, jaro_winkler_similarity(lower(a.n_name || 's'), lower(b.n_name)) AS s FROM nation a, nation b)
+SELECT mention, entity FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY s DESC, entity) AS n FROM s WHERE s >= 0.7) WHERE n = 1""")
 def _(spark, d):
     n = table(spark, d, "nation")
     return K.names_to_hub(n.select(F.concat(F.col("n_name"), F.lit("s")).alias("mention")), n.select(F.col("n_name").alias("entity"))).select("mention", "entity")
 
 
-@query("acronym_expand")
+@query("acronym_expand", """
+WITH w AS (SELECT DISTINCT p_type AS t, unnest(regexp_split_to_array(upper(p_type), '[^A-Z0-9]+')) AS w FROM part), x AS (SELECT t, list_sort(list(DISTINCT e)) AS more FROM w JOIN (VALUES ('TIN', 'metal'), ('SMALL', 'little'), ('TIN', 'Sn')) v(a, e) ON w = a GROUP BY 1)
+SELECT p_partkey, p_type, [p_type] || coalesce(more, []) AS expanded FROM part LEFT JOIN x ON t = p_type""")
 def _(spark, d):
     spelled = spark.createDataFrame([("TIN", "metal"), ("SMALL", "little"), ("TIN", "Sn")], "acronym string, expansion string")
     return K.expand_acronyms(table(spark, d, "part").select("p_partkey", "p_type"), "p_type", spelled)
@@ -418,10 +436,39 @@ def _(spark, d):
     return C.recluster(m, e, spark.createDataFrame([(first,)], "key string"))
 
 
-@query("cluster_repair")
+#: Suppliers of a nation, linked to the next by name and sometimes to the one after: chains with bridges.
+CHAINS = f"""
+k AS (SELECT CAST(s_suppkey AS VARCHAR) AS k, s_suppkey AS id, s_nationkey AS g, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name, CAST(s_suppkey AS VARCHAR)) AS n FROM supplier),
+e AS (SELECT least(a.k, b.k) AS a, greatest(a.k, b.k) AS b, (a.id * b.id + a.id + b.id) % 10 / 10 AS s FROM k a JOIN k b ON a.g = b.g AND (b.n = a.n + 1 OR b.n = a.n + 2 AND (a.id + b.id) % 3 = 0)),
+ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(node, other) AS (SELECT a, a FROM ways UNION SELECT reach.node, ways.b FROM reach JOIN ways ON reach.other = ways.a),
+m AS (SELECT min(other) AS cluster_id, node FROM reach GROUP BY node),
+sz AS (SELECT cluster_id, count(*) AS size FROM m GROUP BY 1),
+q AS (SELECT sz.cluster_id, size, count(*) AS n, {r('avg(s)')} AS mean, {r('min(s)')} AS low, {r('count(*) / (size * (size - 1) / 2)')} AS density FROM e JOIN m ON m.node = e.a JOIN sz USING (cluster_id) GROUP BY sz.cluster_id, size),
+bad AS (SELECT * FROM q WHERE mean < 0.5 OR (low < mean * 0.5 AND density < 1))"""
+REPAIRED = f"""
+cand AS (SELECT cluster_id, size, n, density, e.a, e.b, e.s FROM e JOIN m ON m.node = e.a JOIN bad USING (cluster_id) WHERE {r('s')} < 0.5),
+cut(a, b, node) AS (SELECT a, b, a FROM cand UNION SELECT cut.a, cut.b, w.b FROM cut JOIN ways w ON w.a = cut.node AND NOT (w.a = cut.a AND w.b = cut.b) AND NOT (w.a = cut.b AND w.b = cut.a)),
+side AS (SELECT a, b, count(*) AS n1 FROM cut GROUP BY a, b HAVING bool_and(node <> b)),
+inner_ AS (SELECT x.a, x.b, count(*) AS e1 FROM cut x JOIN e ON e.a = x.node JOIN cut y ON y.a = x.a AND y.b = x.b AND y.node = e.b GROUP BY 1, 2),
+parts AS (SELECT c.*, n1, coalesce(e1, 0) AS e1, size - n1 AS n2, n - 1 - coalesce(e1, 0) AS e2 FROM cand c JOIN side USING (a, b) LEFT JOIN inner_ USING (a, b)),
+fine AS (
+  SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY s, a, b) AS k FROM parts
+  WHERE CASE WHEN n1 > 1 THEN e1 / (n1 * (n1 - 1) / 2) ELSE 1.0 END > density AND CASE WHEN n2 > 1 THEN e2 / (n2 * (n2 - 1) / 2) ELSE 1.0 END > density)"""
+
+
+def chains(spark, d):
+    from ..operators.blocking import block_sorted_neighborhood
+
+    met = block_sorted_neighborhood(table(spark, d, "supplier"), "s_suppkey", F.col("s_name"), 2, F.col("s_nationkey"))
+    a, b = F.col("doc1_key").cast("long"), F.col("doc2_key").cast("long")
+    return E.make_edges(met.where((F.col("distance") == 1) | ((a + b) % 3 == 0)).withColumn("score", (a * b + a + b) % 10 / 10), "chain")
+
+
+@query("cluster_repair", f"WITH RECURSIVE {CHAINS}, {REPAIRED} SELECT bad.cluster_id, a AS src, b AS dst, {r('s')} AS similarity, CASE WHEN a IS NULL THEN 'queue' ELSE 'remove_edge' END AS action FROM bad LEFT JOIN fine ON fine.cluster_id = bad.cluster_id AND k = 1")
 def _(spark, d):
-    e = edges(spark, d)
-    return C.repair(C.cluster(e), e, 0.95)
+    e = chains(spark, d)
+    return C.repair(C.cluster(e), e, 0.5)
 
 
 @query("collective_resolve")
@@ -501,18 +548,22 @@ def _(spark, d):
     return L.patterns(_brand_pairs(spark, d).select(L.gamma(S.levenshtein("x", "y"), 0.5).alias("g_name"), L.gamma(S.levenshtein("tx", "ty"), 0.5).alias("g_type")), ["g_name", "g_type"])
 
 
-@query("em_binary")
+@query("em_binary", f"WITH RECURSIVE {Q.em_binary(ORACLES['gamma_patterns'], ['g_name', 'g_type'])} SELECT field, {r('CASE WHEN s THEN u ELSE m END', 6)} AS m, {r('CASE WHEN s THEN m ELSE u END', 6)} AS u, {r('CASE WHEN s THEN 1 - p ELSE p END', 6)} AS prior FROM (SELECT 'name' AS field, m0 AS m, u0 AS u, p, m0 + m1 < u0 + u1 AS s FROM last UNION ALL SELECT 'type', m1, u1, p, m0 + m1 < u0 + u1 FROM last)")
 def _(spark, d):
     import numpy as np
 
     rows = QUERIES["gamma_patterns"](spark, d).collect()
     got = L.em_binary(np.array([[x["g_name"], x["g_type"]] for x in rows], float).reshape(-1, 2), np.array([x["n"] for x in rows]))
-    return spark.createDataFrame([(n, float(m), float(u), float(got.prior)) for n, m, u in zip(("name", "type"), got.m, got.u, strict=True)], "field string, m double, u double, prior double")
+    found = spark.createDataFrame([(n, float(m), float(u), float(got.prior)) for n, m, u in zip(("name", "type"), got.m, got.u, strict=True)], "field string, m double, u double, prior double")
+    return found.withColumns({c: round_half_up(c, 6) for c in ("m", "u", "prior")})
 
 
-@query("u_random_pairs")
+@query("u_random_pairs", f"""
+WITH one AS (SELECT md5('42' || c_custkey) AS h, CAST(c_custkey AS VARCHAR) AS k, c_mktsegment AS a, CAST(c_nationkey AS VARCHAR) AS b FROM customer ORDER BY 1, 2 LIMIT 2000),
+g AS (SELECT CAST(a = lead(a) OVER w AS INTEGER) AS a, CAST(b = lead(b) OVER w AS INTEGER) AS b FROM one WINDOW w AS (ORDER BY h, k))
+SELECT 'segment' AS field, count(a) AS n, {r('greatest(avg(a), 1.0 / (count(a) + 1))', 6)} AS u FROM g UNION ALL SELECT 'nation', count(b), {r('greatest(avg(b), 1.0 / (count(b) + 1))', 6)} FROM g""")
 def _(spark, d):
-    return L.random_agreement(customers(spark, d), "key", {"segment": F.col("c_mktsegment"), "nation": F.col("c_nationkey")})
+    return L.random_agreement(customers(spark, d), "key", {"segment": F.col("c_mktsegment"), "nation": F.col("c_nationkey")}).withColumn("u", round_half_up("u", 6))
 
 
 def _labelled(spark, d):
@@ -534,9 +585,9 @@ def _(spark, d):
     return _rounded(L.threshold_sweep(_labelled(spark, d))).withColumn("threshold", round_half_up("threshold", 2))
 
 
-@query("threshold_supervised")
+@query("threshold_supervised", f"SELECT * FROM ({ORACLES['threshold_sweep']}) ORDER BY f1 DESC, threshold LIMIT 1")
 def _(spark, d):
-    return L.best_threshold(L.threshold_sweep(_labelled(spark, d)))
+    return L.best_threshold(QUERIES["threshold_sweep"](spark, d))
 
 
 @query("eval_confusion", f"WITH {SCORED}, {TRUE}, c AS (SELECT count(*) FILTER (is_match AND score >= 0.8) AS tp, count(*) FILTER (NOT is_match AND score >= 0.8) AS fp, count(*) FILTER (is_match AND score < 0.8) AS fn FROM lb) SELECT tp, fp, fn, 1.0::DOUBLE AS candidate_recall, {PRF} FROM c")
@@ -566,12 +617,13 @@ def _(spark, d):
     return L.score_diagnostics(scored(spark, d)).withColumns({c: round_half_up(F.col(c) + (1e-9 if c in ("mean", "stdev") else 0.0), 6) for c in ("mean", "stdev", "p25", "p50", "p75", "p95")})  # off ties, as sums differ in their last digits
 
 
-@query("threshold_otsu")
+@query("threshold_otsu", f"WITH {SCORED}, {Q.HISTOGRAM}, {Q.BANDS} SELECT {r('cut', 6)} AS otsu, {r('CASE WHEN depth >= 0.15 THEN cut ELSE 0.8 END', 6)} AS auto, {r('depth', 6)} AS valley_depth, depth >= 0.15 AS accepted, (SELECT coalesce(list({r('band', 6)} ORDER BY band DESC), []) FROM bands) AS bands FROM depth")
 def _(spark, d):
     hist, low, high = L.score_bins(scored(spark, d))
     cut = L.otsu(hist, low, high)
     auto, depth, ok = L.auto_threshold(scored(spark, d))
-    return spark.createDataFrame([(cut, auto, depth, ok, L.comparison_bands(hist, low, high))], "otsu double, auto double, valley_depth double, accepted boolean, bands array<double>")
+    found = spark.createDataFrame([(cut, auto, depth, ok, L.comparison_bands(hist, low, high))], "otsu double, auto double, valley_depth double, accepted boolean, bands array<double>")
+    return found.withColumns({c: round_half_up(c, 6) for c in ("otsu", "auto", "valley_depth")}).withColumn("bands", F.transform("bands", lambda x: round_half_up(x, 6)))
 
 
 @query("b_cubed", f"WITH RECURSIVE {SCORED}, {COMPONENTS}, m AS (SELECT member_key, cluster_id AS p, c_mktsegment || '|' || floor(c_acctbal / 2000) AS t FROM members JOIN customer ON member_key = CAST(c_custkey AS VARCHAR)), x AS (SELECT count(*) OVER (PARTITION BY p, t) AS n, count(*) OVER (PARTITION BY p) AS np, count(*) OVER (PARTITION BY t) AS nt FROM m), g AS (SELECT avg(n / np) AS p, avg(n / nt) AS q, count(*) AS records FROM x) SELECT {r('p', 6)} AS precision, {r('q', 6)} AS recall, records, {r('2 * p * q / (p + q)', 6)} AS f1 FROM g")
@@ -629,10 +681,14 @@ def _(spark, d):
     return spark.createDataFrame([(c[0], c[1], p[0])], "customer_name string, customer_key string, part_type string")
 
 
-@query("feature_weights")
+@query("feature_weights", f"""
+WITH {SCORED}, {TRUE}, f AS (SELECT is_match, 'score' AS feature, score AS v FROM lb UNION ALL SELECT is_match, 'noise', (CAST(doc1_key AS BIGINT) * 7 + CAST(doc2_key AS BIGINT) * 13) % 1000 / 1000 FROM lb),
+s AS (SELECT feature, avg(v) FILTER (is_match) AS m1, avg(v) FILTER (NOT is_match) AS m0, var_pop(v) FILTER (is_match) AS v1, var_pop(v) FILTER (NOT is_match) AS v0 FROM f GROUP BY 1),
+t AS (SELECT *, coalesce(greatest(0.0, (m1 - m0) / sqrt((v1 + v0) / 2 + 1e-9)), 0.0) AS d FROM s)
+SELECT feature, {r('m1', 6)} AS match_mean, {r('m0', 6)} AS non_match_mean, {r('d', 6)} AS separation, {r('CASE WHEN sum(d) OVER () > 0 THEN d / sum(d) OVER () ELSE 0.0 END', 6)} AS weight FROM t""")
 def _(spark, d):
-    lab = _labelled(spark, d).withColumn("noise", F.pmod(F.xxhash64("doc1_key", "doc2_key"), F.lit(1000)) / 1000)
-    return L.feature_weights(lab, ["score", "noise"])
+    lab = _labelled(spark, d).withColumn("noise", (F.col("doc1_key").cast("long") * 7 + F.col("doc2_key").cast("long") * 13) % 1000 / 1000)
+    return L.feature_weights(lab, ["score", "noise"]).withColumns({c: round_half_up(c, 6) for c in ("match_mean", "non_match_mean", "separation", "weight")})
 
 
 # --- gates and review ---
@@ -713,13 +769,17 @@ def _(spark, d):
     return G.pending_review(s, s.where(F.substring("doc1_key", -1, 1) == "7"), 0.55, 0.6).select("doc1_key", "doc2_key")
 
 
-@query("incremental_score")
+@query("incremental_score", f"""
+WITH s AS (SELECT CAST(s_suppkey AS VARCHAR) AS k, lower(trim(n_name)) AS x FROM supplier JOIN nation ON s_nationkey = n_nationkey), b AS (SELECT 'n' || n_nationkey AS k, lower(trim(n_name)) AS x FROM nation),
+m AS (SELECT s.k AS new_key, b.k AS base_key, CASE WHEN s.x = b.x THEN 1.0 ELSE jaro_winkler_similarity(s.x, b.x) END AS score FROM s JOIN b ON left(s.x, 3) = left(b.x, 3)),
+n AS (SELECT *, row_number() OVER (PARTITION BY new_key ORDER BY score DESC, base_key) AS rank FROM m WHERE score >= 0.75)
+SELECT new_key, base_key, {r('score', 6)} AS score, CAST(rank AS INTEGER) AS rank FROM n WHERE rank <= 10""")
 def _(spark, d):
     from ..streaming.incremental import resolve_batch
 
     n = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("k"), "n_name")
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").cast("string").alias("k"), "n_name")
-    return resolve_batch(s, n, "k", ["n_name"])
+    return resolve_batch(s, n, "k", ["n_name"]).withColumn("score", round_half_up("score", 6))
 
 
 @query("stream_windowed_counts", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

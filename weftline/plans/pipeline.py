@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -77,19 +79,32 @@ STRATEGIES = {
 }
 
 
-def run(df: DataFrame, config: Config) -> dict[str, DataFrame]:
-    """pairs, scored, edges, members, quality and golden."""
+def stages(df: DataFrame, config: Config) -> Iterator[tuple[str, DataFrame]]:
+    """The tables of a run in turn, each as soon as it can be read: pairs, scored, edges, members, quality, and golden."""
     c = config.checked()
     pairs = STRATEGIES[c.blocking["strategy"]](df, c.key, c.blocking).select("doc1_key", "doc2_key")
+    yield "pairs", pairs
     fields = [P.Field(n, float(o.get("weight", 1.0)), o.get("algorithm", "jaro_winkler"), tuple(o.get("transformers", ()))) for n, o in c.fields.items()]
     scored = materialise(P.score_pairs(pairs, df, c.key, fields, nulls=c.nulls, detailed=True), "scored")
+    yield "scored", scored
     threshold = L.auto_threshold(scored)[0] if c.threshold == "auto" else float(c.threshold)
     edges = make_edges(scored.where(F.col("score") >= threshold), c.blocking["strategy"])
+    yield "edges", edges
     members = materialise(C.cluster(edges, min_size=c.min_cluster_size), "members")
-    out = {"pairs": pairs, "scored": scored, "edges": edges, "members": members, "quality": C.quality(members, edges)}
+    yield "members", members
+    yield "quality", C.quality(members, edges)
     if c.golden:
-        chosen = O.survivors(df, members, c.key, c.golden, c.recency, c.source, c.priority)
-        out["golden"] = O.consolidate(chosen, members, list(c.golden))
+        yield "golden", O.consolidate(O.survivors(df, members, c.key, c.golden, c.recency, c.source, c.priority), members, list(c.golden))
+
+
+def run(df: DataFrame, config: Config, progress: Callable[[dict], None] | None = None) -> dict[str, DataFrame]:
+    """pairs, scored, edges, members, quality and golden. progress is told of each stage that is ready: its name, the seconds
+    since the run began, and how many stages are done."""
+    began, out = time.monotonic(), {}
+    for name, table in stages(df, config):
+        out[name] = table
+        if progress:
+            progress({"stage": name, "seconds": time.monotonic() - began, "done": len(out)})
     return out
 
 

@@ -69,8 +69,8 @@ def pending(df: DataFrame, done: DataFrame, key: str = "_key") -> DataFrame:
 
 
 def sample(df: DataFrame, n: int, key: str, seed: int | None = None) -> DataFrame:
-    """n records: the first by key, or by a seeded hash of it."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key).cast("string")) if seed is not None else F.col(key), key).limit(n)
+    """n records: the first by key, or by a seeded digest of it."""
+    return df.orderBy(F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string"))) if seed is not None else F.col(key), key).limit(n)
 
 
 def tables(spark: SparkSession) -> list[tuple[str, int]]:

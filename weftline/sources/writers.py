@@ -32,3 +32,31 @@ def write_lines(df: DataFrame, path: str, tsv: bool = False) -> None:
 def write_report(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").json(f"{path}/json")
     metrics.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+
+
+def write_bulk(df: DataFrame, path: str, kind: str, key: str | None = None, ends: tuple[str, str] | None = None) -> None:
+    """Vertices (with _key) or edges (with _from and _to) as CSV files with headers, as many as there are partitions: what bulk
+    loaders read side by side."""
+    if kind not in ("vertices", "edges"):
+        raise ValueError(f"kind {kind!r}; known: vertices, edges")
+    named = {"_key": key} if kind == "vertices" else dict(zip(("_from", "_to"), ends, strict=True))
+    head = [F.col(c).cast("string").alias(n) for n, c in named.items()]
+    df.select(*head, *[F.col(c) for c in df.columns if c not in named.values()]).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def bulk_import(existing: DataFrame, new: DataFrame, key: str = "_key", on_duplicate: str = "error") -> DataFrame:
+    """existing with the rows of new. on_duplicate says what becomes of a key that is there: ignore keeps the old row, replace
+    takes the new one, update takes its values that aren't null, error raises. Of new rows with the same key one counts."""
+    new = new.dropDuplicates([key])
+    if on_duplicate == "error":
+        if not new.join(existing.select(key), key, "left_semi").isEmpty():
+            raise ValueError("a key is there already")
+        return existing.unionByName(new)
+    if on_duplicate == "ignore":
+        return existing.unionByName(new.join(existing.select(key), key, "left_anti").select(existing.columns))
+    if on_duplicate == "replace":
+        return existing.join(new.select(key), key, "left_anti").select(existing.columns).unionByName(new)
+    if on_duplicate != "update":
+        raise ValueError(f"on_duplicate {on_duplicate!r}; known: error, ignore, replace, update")
+    a, b = existing.alias("a"), new.alias("b")
+    return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer").select(*[F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in existing.columns])
