@@ -74,7 +74,7 @@ def test_walks_follow_edges_and_embeddings_separate(spark):
 
 
 def test_advice(spark, people):
-    types = {r.field: r.type for r in A.field_types(spark.createDataFrame([("a@b.co", "555-123-4567", "2024-01-02", "12.5", "AB-12", "Ann Lee", "Acme Inc", "12 Main St")] * 3, "e string, p string, d string, n string, i string, w string, o string, s string"), list("epdniwos")).collect()}
+    types = {r.field: r.type for r in A.field_types(spark.createDataFrame([("a@b.co", "555-123-4567", "2024-01-02", "12.5", f"AB-{i}", "Ann Lee", "Acme Inc", "12 Main St") for i in range(3)], "e string, p string, d string, n string, i string, w string, o string, s string"), list("epdniwos")).collect()}
     assert types == {"e": "email", "p": "phone", "d": "date", "n": "numeric", "i": "id", "w": "person_name", "o": "org_name", "s": "address"}
     got = {r.fields: (r.pairs, r.largest) for r in A.blocking_candidates(people, ["city", "name"]).collect()}
     assert got["city"] == (4, 3) and got["city + name"] == (0, 1)

@@ -16,12 +16,11 @@ STATES = {
     "PENNSYLVANIA": "PA", "RHODE ISLAND": "RI", "SOUTH CAROLINA": "SC", "SOUTH DAKOTA": "SD", "TENNESSEE": "TN", "TEXAS": "TX", "UTAH": "UT", "VERMONT": "VT", "VIRGINIA": "VA",
     "WASHINGTON": "WA", "WEST VIRGINIA": "WV", "WISCONSIN": "WI", "WYOMING": "WY",
 }
-# Short forms of street suffixes, by their long form; company suffixes.
-STREET_FORMS = {
-    "STREET": ("ST", "STR"), "AVENUE": ("AVE", "AV"), "ROAD": ("RD",), "DRIVE": ("DR",), "LANE": ("LN",), "BOULEVARD": ("BLVD",), "COURT": ("CT", "CRT"), "PLACE": ("PL",),
-    "HIGHWAY": ("HWY",), "PARKWAY": ("PKWY",), "CIRCLE": ("CIR",), "TRAIL": ("TRL",), "WAY": (), "SQUARE": ("SQ",), "TERRACE": ("TER", "TERR"),
+# Street suffixes by their short forms; company suffixes.
+STREET_SUFFIXES = {
+    "ST": "STREET", "STR": "STREET", "AVE": "AVENUE", "AV": "AVENUE", "RD": "ROAD", "DR": "DRIVE", "LN": "LANE", "BLVD": "BOULEVARD", "CT": "COURT", "CRT": "COURT",
+    "PL": "PLACE", "HWY": "HIGHWAY", "PKWY": "PARKWAY", "CIR": "CIRCLE", "TRL": "TRAIL", "SQ": "SQUARE", "TER": "TERRACE", "TERR": "TERRACE",
 }
-STREET_SUFFIXES = {short: long for long, shorts in STREET_FORMS.items() for short in (*shorts, long)}
 COMPANY_SUFFIXES = {"INCORPORATED": "INC", "CORPORATION": "CORP", "COMPANY": "CO", "LIMITED": "LTD"}
 UNITS = ("APT", "APARTMENT", "UNIT", "SUITE", "STE", "FLOOR", "FL", "ROOM", "RM")
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "were", "with")

@@ -221,16 +221,6 @@ def profile(df: DataFrame, fields: list[str], top: int = 5) -> DataFrame:
     return total.join(heavy, "field", "left").select("field", "rows", (F.col("nulls") / F.col("rows")).alias("null_rate"), "distinct_values", F.when(F.col("k") > 1, F.col("h") / F.log2("k")).otherwise(0.0).alias("entropy"), F.coalesce("top_count", F.lit(0)).alias("top_count"))
 
 
-def classify(field: str) -> Column:
-    """An aggregate: a field's type from the shares of its values that look like one."""
-    c = F.col(field).cast("string")
-    share = lambda pattern: F.avg(F.when(c != "", c.rlike(pattern).cast("double")))
-    return (
-        F.when(share(r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$") > 0.8, "email").when(share(r"^\+?[\d\s().-]{10,}$") > 0.8, "phone").when(share(r"^\d{5}(-\d{4})?$") > 0.8, "postal_code")
-        .when(share(r"^\d{4}[-/]\d{2}[-/]\d{2}") > 0.8, "date").when(share(r"^-?\d+(\.\d+)?$") > 0.8, "number").when(share(r"^\S+$") > 0.8, "identifier").otherwise("text")
-    )
-
-
 def data_quality(df: DataFrame, fields: list[str]) -> DataFrame:
     """(field, rows, missing, distinct_values, completeness)."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.nullif(F.trim(F.col(f).cast("string")), F.lit("")).alias("value")) for f in fields])).alias("x")).select("x.*")

@@ -671,14 +671,18 @@ def _(spark, d):
     return L.pairwise_signals(table(spark, d, "part"), ["p_name", "p_brand"]).withColumns({c: round_half_up(c, 6) for c in ("duplicate_rate", "hub_risk")})
 
 
-KIND = "CASE WHEN avg(CAST(regexp_full_match({0}, '-?[0-9]+(\\.[0-9]+)?') AS DOUBLE)) > 0.8 THEN 'number' WHEN avg(CAST(regexp_full_match({0}, '[^\\s]+') AS DOUBLE)) > 0.8 THEN 'identifier' ELSE 'text' END"
+TYPED = [("customer", "c_name"), ("customer", "c_acctbal"), ("part", "p_name"), ("part", "p_type"), ("orders", "o_orderdate"), ("documents", "text"), ("pages", "url"), ("supplier", "s_name")]
 
 
-@query("field_classification", f"SELECT (SELECT {KIND.format('c_name')} FROM customer) AS customer_name, (SELECT {KIND.format('CAST(c_acctbal AS VARCHAR)')} FROM customer) AS customer_key, (SELECT {KIND.format('p_name')} FROM part) AS part_type")
+@query("field_classification", " UNION ALL ".join(f"SELECT '{c}' AS field, {Q.field_type(c, t)} AS type" for t, c in TYPED))
 def _(spark, d):
-    c = table(spark, d, "customer").agg(L.classify("c_name").alias("customer_name"), L.classify("c_acctbal").alias("customer_key")).first()
-    p = table(spark, d, "part").agg(L.classify("p_name").alias("part_type")).first()
-    return spark.createDataFrame([(c[0], c[1], p[0])], "customer_name string, customer_key string, part_type string")
+    from ..operators.advisor import field_type
+
+    out = None
+    for t, c in TYPED:
+        one = table(spark, d, t).agg(F.lit(c).alias("field"), field_type(c).alias("type"))
+        out = one if out is None else out.union(one)
+    return out
 
 
 @query("feature_weights", f"""

@@ -161,7 +161,10 @@ def _(spark, d):
     return A.blocking_candidates(table(spark, d, "part"), ["p_brand", "p_size"]).select("fields", "pairs", "largest")
 
 
-@query("emit_similarity_config")
+@query("emit_similarity_config", f"""
+WITH t AS ({" UNION ALL ".join(f"SELECT '{c}' AS field, {Q.field_type(c, 'customer')} AS type" for c in ('c_name', 'c_mktsegment', 'c_acctbal'))}),
+k AS (SELECT t.*, w, algorithm FROM t JOIN (VALUES {", ".join(f"('{n}', {x.weight}, '{x.algorithm}')" for n, x in A.TYPE_DEFAULTS.items())}) v(type, w, algorithm) USING (type) WHERE type <> 'free_text')
+SELECT field, type, round(w / sum(w) OVER (), 4)::DOUBLE AS weight, algorithm FROM k""")
 def _(spark, d):
     got = A.similarity_config(A.field_types(table(spark, d, "customer"), ["c_name", "c_mktsegment", "c_acctbal"]))
     return spark.createDataFrame([(x["field"], x["type"], x["weight"], x["algorithm"]) for x in got], "field string, type string, weight double, algorithm string")
