@@ -196,3 +196,25 @@ def test_exported_configuration_runs_and_reports(spark, tmp_path):
     told = []
     out = R.run(df, R.Config.load(str(path)), told.append)
     assert out["members"].count() == 10 and [t["stage"] for t in told] == ["pairs", "scored", "edges", "members", "quality"] and json.loads(path.read_text())["entity_resolution"]["key"] == "id"
+
+
+def test_node_embeddings_equal_the_dense_factors(spark):
+    from weftline.operators import embedding as M
+
+    rng = random.Random(8)
+    pairs = {tuple(sorted(rng.sample("abcdefghijkl", 2))) for _ in range(18)}
+    df = spark.createDataFrame(sorted(pairs), "src string, dst string")
+    got = {r.key: np.array(r.embedding) for r in M.node2vec(df).collect()}
+    counts = M.cooccurrence(M.random_walks(df)).collect()
+    names = sorted({r.a for r in counts})
+    m = np.zeros((len(names), len(names)))
+    for r in counts:
+        m[names.index(r.a), names.index(r.b)] = r.n
+    mass = m.sum(axis=1)
+    with np.errstate(divide="ignore"):
+        pmi = np.maximum(np.log(m * m.sum() / np.outer(mass, mass)), 0)
+    u, s, _ = np.linalg.svd(pmi)
+    want = u * np.sqrt(s)
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    x = np.stack([got[k] for k in names])
+    assert names == sorted(got) and np.allclose(x @ x.T, want @ want.T, atol=1e-5)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialise
 from .blocking import block_vector
+from .factor import randomised_svd
+from .ranking import global_rank
 from .scoring import neighbours
 
 
@@ -34,28 +37,26 @@ def cooccurrence(walks: DataFrame, window: int = 5) -> DataFrame:
     return pair.union(pair.select("b", "a")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def node2vec(edges: DataFrame, src: str = "src", dst: str = "dst", dim: int = 16, most_nodes: int = 10_000, **walk) -> DataFrame:
-    """(key, embedding): left singular vectors of the positive pointwise mutual information, scaled and normalised. The matrix is
-    dense on the driver, so graphs of more than ``most_nodes`` nodes are refused."""
-    spark: SparkSession = edges.sparkSession
+def node2vec(edges: DataFrame, src: str = "src", dst: str = "dst", dim: int = 16, most_nodes: int = 2_000_000, **walk) -> DataFrame:
+    """(key, embedding): singular vectors of the positive pointwise mutual information of nodes that meet in walks, scaled by the
+    roots of their values and normalised. The matrix stays sparse and distributed; the driver holds some dim + 10 numbers a
+    node, so graphs of more than ``most_nodes`` nodes are refused."""
     counts = materialise(cooccurrence(random_walks(edges, src, dst, **walk)), "cooccurrence")
-    n = counts.select("a").distinct().count()
+    mass = materialise(counts.groupBy("a").agg(F.sum("n").alias("mass")), "mass")
+    n = mass.count()
     if n > most_nodes:
         raise ValueError(f"{n} nodes; at most {most_nodes}")
-    rows = counts.orderBy("a", "b").collect()
-    names = sorted({r["a"] for r in rows})
-    at = {k: i for i, k in enumerate(names)}
-    m = np.zeros((n, n))
-    for r in rows:
-        m[at[r["a"]], at[r["b"]]] = r["n"]
-    total, mass = m.sum(), m.sum(axis=1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        pmi = np.maximum(np.nan_to_num(np.log(m * total / np.outer(mass, mass)), neginf=0.0), 0)
-    u, s, _ = np.linalg.svd(pmi)
-    v = u[:, :dim] * np.sqrt(s[:dim])
+    names = materialise(global_rank(mass, ["a"], "at").withColumn("at", (F.col("at") - 1).cast("int")), "names")
+    total = mass.agg(F.sum("mass")).first()[0] or 0
+    one = names.select("a", F.col("at").alias("row"), F.col("mass").alias("m1"))
+    two = names.select(F.col("a").alias("b"), "at", F.col("mass").alias("m2"))
+    pmi = counts.join(one, "a").join(two, "b").select("row", "at", F.log(F.col("n") * F.lit(float(total)) / F.col("m1") / F.col("m2")).alias("value")).where("value > 0")
+    rows = materialise(pmi.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("x")).select(F.col("x.at").alias("at"), F.col("x.value").alias("value")), "pmi")
+    v, s = randomised_svd(rows, max(1, n), min(dim, max(1, n)), power=4)
+    v = v * np.sqrt(s)
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-    kind = edges.schema[src].dataType.simpleString()
-    return spark.createDataFrame([(k, [float(x) for x in row]) for k, row in zip(names, v, strict=True)], f"key {kind}, embedding array<double>")
+    placed = edges.sparkSession.createDataFrame(pd.DataFrame({"at": np.arange(n, dtype=np.int32), "embedding": [x.tolist() for x in v[:n]]}), "at int, embedding array<double>")
+    return names.join(placed, "at").select(F.col("a").alias("key"), "embedding")
 
 
 def block_graph_embedding(edges: DataFrame, threshold: float = 0.7, limit: int = 20, **options) -> DataFrame:
