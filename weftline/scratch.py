@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -42,10 +45,32 @@ def measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, d
     return written, seen.get
 
 
-def purge(spark: SparkSession) -> int:
-    """Deletes the tables that ``materialise`` wrote; call it once no result that reads them is needed."""
+def purge(spark: SparkSession, since: int = 0, spare: int = 0) -> int:
+    """Deletes the tables that ``materialise`` wrote; call it once no result that reads them is needed. since: how many of the
+    first stay; spare: how many of the last."""
+    gone = _written[since : len(_written) - spare]
+    del _written[since : len(_written) - spare]
     jvm, n = spark.sparkContext._jvm, 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
     return n
+
+
+@contextlib.contextmanager
+def leaving(last: int) -> Iterator[None]:
+    """Of the tables that are written inside, only the last ones stay."""
+    before = len(_written)
+    yield
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        purge(spark, before, last)
+
+
+@atexit.register
+def _purge_all() -> None:
+    """Whoever ends a session in good order leaves nothing behind."""
+    with contextlib.suppress(Exception):  # the session may be gone
+        spark = SparkSession.getActiveSession()
+        if spark is not None and _written:
+            purge(spark)
