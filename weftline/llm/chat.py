@@ -5,6 +5,8 @@ escaped, so that the formatted text can be parsed back. Everything is a DataFram
 
 Null roles and texts are empty; rows with a null turn come first; equal turns go by role, then text. A conversation
 whose order the machine refuses is still formatted, with ``valid`` false. Rows with a null conv_id form one conversation.
+A conversation of any length, and any text in it, is whole in one row. Repeated rows are turns of their own. An empty table
+gives an empty one. Extra columns aren't read, so their names don't matter.
 """
 
 from __future__ import annotations

@@ -7,8 +7,11 @@ integer quota. In a cell the documents stand in seeded order, ``cap`` epochs of
 of blocks from a seeded block on. Cells grow as the square root of the number of documents, in number and in size, so
 neither a hot source nor the table of cells lands in one task.
 
-Null texts have size 0 and nothing is taken of them; null sources are one source, the last. Repeated rows are documents
-of their own. An empty table gives an empty result.
+Null texts have size 0 and nothing is taken of them; null sources are one source, the last. Texts of any length are counted
+whole; one that is longer than a cell's quota is taken in part. Equal quotients go to the party that comes first. Repeated
+rows are documents of their own, and ids may be null or repeat. An empty table gives an empty result. Extra columns come
+along in ``row`` under any name. Sources stand for corpora: their table goes through one task, and so does that of a
+source's cells.
 """
 
 from __future__ import annotations

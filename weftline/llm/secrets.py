@@ -7,7 +7,10 @@ sum (widened to separators) that do. So a name or path before or after a key doe
 ``margin`` as a whole is reported whole if no piece of it is. All of it is DataFrame expressions: every document is handled
 in its own row, without a shuffle.
 
-Null and empty texts have no spans. Overlaps: a run that touches a pattern's span is not reported again.
+Null and empty texts have no spans. Texts of any length are scanned whole, in time that grows with their length. Overlaps:
+a run that touches a pattern's span is not reported again; of spans that start together, kinds come in their listed order.
+Every row is scanned by itself, so repeated rows agree, and ids don't matter. An empty table gives an empty one. Extra
+columns stay; those called ``base`` or ``spans`` are replaced.
 """
 
 from __future__ import annotations
@@ -72,8 +75,8 @@ STEMS = (
 ).split()
 
 
-def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """(text, random boolean): n strings of each label, the same at each call. Random ones are hex digests and base64 of digests
+def labelled_samples(spark: SparkSession, n: int = 4000, first: int = 0) -> DataFrame:
+    """(text, random boolean): n strings of each label, the same at each call; other ones from another first. Random ones are hex digests and base64 of digests
     in three alphabets; ordinary ones join two to four stems as words of names and paths are joined."""
     i, k = F.col("id"), F.array(*[F.lit(x) for x in STEMS])
     digest = F.sha2(F.concat(F.lit("weftline"), i.cast("string")), 256)
@@ -90,7 +93,7 @@ def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
         .when(i % 7 == 5, F.concat(F.array_join(parts, "/"), F.lit("/"), (i % 1000).cast("string")))
         .otherwise(F.array_join(parts, ""))
     )
-    ids = spark.range(n)
+    ids = spark.range(first, first + n)
     return ids.select(noise.alias("text"), F.lit(True).alias("random")).union(ids.select(named.alias("text"), F.lit(False).alias("random")))
 
 
@@ -130,6 +133,22 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _scan(items: Column, kind: str, element) -> Column:
+    """element(at, x) of each of items, where ``at`` is the sum of x.n before it; kind: the type of an element. Elements are put
+    together in blocks, as an array that grows by one element at a time would be copied for each."""
+    full = lambda acc: F.size(acc["block"]) >= 256
+    none = F.array().cast(f"array<{kind}>")
+
+    def step(acc: Column, x: Column) -> Column:
+        one = F.array(element(acc["at"], x))
+        block = F.when(full(acc), one).otherwise(F.concat(acc["block"], one))
+        out = F.when(full(acc), F.concat(acc["out"], F.array(acc["block"]))).otherwise(acc["out"])
+        return F.struct((acc["at"] + x["n"]).alias("at"), block.alias("block"), out.alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), none.alias("block"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.aggregate(items, start, step, lambda acc: F.flatten(F.concat(acc["out"], F.array(acc["block"]))))
+
+
 SPANS = "array<struct<s:int,e:int>>"
 
 
@@ -139,9 +158,8 @@ def _span(s: Column, e: Column) -> Column:
 
 def _placed(pieces: Column) -> Column:
     """array<struct<at, piece>> of adjoining pieces."""
-    empty = F.array().cast("array<struct<at:int,piece:string>>")
-    step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), p.alias("piece")))).alias("out"))
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    items = F.transform(pieces, lambda p: F.struct(p.alias("piece"), F.length(p).alias("n")))
+    return _scan(items, "struct<at:int,piece:string>", lambda at, x: F.struct(at.alias("at"), x["piece"].alias("piece")))
 
 
 def _stretches(piece: Column, steps: Column, margin: float) -> Column:
@@ -197,14 +215,11 @@ def _matches(text: Column, pattern: str, kind: int) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2 if kind == 0 else 0))
     gap = F.transform(F.split(text, pattern, -1), F.length)
-    rows = F.arrays_zip(gap.alias("gap"), F.transform(found, F.length).alias("n"), value.alias("value"))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + x["n"]).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + x["gap"] + x["n"]).alias("end"), x["value"].alias("value")))).alias("out"),
-    )
-    spans = F.aggregate(F.filter(rows, lambda x: x["n"].isNotNull()), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(empty)
+    zipped = F.filter(F.arrays_zip(gap.alias("gap"), F.transform(found, F.length).alias("size"), value.alias("value")), lambda x: x["size"].isNotNull())
+    rows = F.transform(zipped, lambda x: F.struct(x["gap"].alias("gap"), (x["gap"] + x["size"]).alias("n"), x["value"].alias("value")))
+    span = "struct<start:int,kind:int,end:int,value:string>"
+    spans = _scan(rows, span, lambda at, x: F.struct((at + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + x["n"]).alias("end"), x["value"].alias("value")))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{span}>"))
 
 
 def scan(docs: DataFrame, ratios: list[float], text: str = "text", margin: float = 0.5) -> DataFrame:
