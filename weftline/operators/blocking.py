@@ -148,8 +148,8 @@ def bm25_scores(queries: DataFrame, documents: DataFrame, k1: float = 1.2, b: fl
     all are listed, and others may be left out.
 
     Postings meet by token, and very common tokens would bring nearly all documents together. So a query's tokens are taken from
-    the least weight up, by the most that a token adds to any document: as long as these sum up to no more than ``over``, no
-    document gets there by them alone. Only the tokens beyond find candidates, which are then scored by all tokens."""
+    the least weight up, by the most that a token adds to any document, as long as these sum up to half of ``over`` at most.
+    The tokens beyond are met first; only pairs that the others can still lift over ``over`` are met by them too."""
     n, avg_len = documents.select("doc", "doc_len").distinct().agg(F.count(F.lit(1)), F.avg("doc_len")).first()
     df = documents.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -161,10 +161,13 @@ def bm25_scores(queries: DataFrame, documents: DataFrame, k1: float = 1.2, b: fl
     weighted = materialise(weighted, "weights")
     most = weighted.groupBy("token").agg(F.max("w").alias("most"))
     rising = Window.partitionBy("d1").orderBy("most", "token").rowsBetween(Window.unboundedPreceding, 0)
-    asked = asked.join(most, "token")
-    finding = asked.withColumn("sum", F.sum("most").over(rising)).where(F.col("sum") > over).select("d1", "token")
-    met = finding.join(weighted.select("token", "d2"), "token").where("d1 <> d2").select("d1", "d2").distinct()
-    scored = met.join(asked.select("d1", "token"), "d1").join(weighted, ["token", "d2"]).groupBy("d1", "d2").agg(F.sum("w").alias("bm25"))
+    asked = materialise(asked.join(most, "token").withColumn("sum", F.sum("most").over(rising)), "asked")
+    few = F.col("sum") <= over / 2
+    common = asked.where(few).groupBy("d1").agg(F.max("sum").alias("left"))
+    met = asked.where(~few).select("d1", "token").join(weighted, "token").where("d1 <> d2").groupBy("d1", "d2").agg(F.sum("w").alias("first"))
+    met = materialise(met.join(common, "d1", "left").where(F.col("first") + F.coalesce("left", F.lit(0.0)) > over - 1e-9).select("d1", "d2", "first"), "met")
+    rest = met.select("d1", "d2").join(asked.where(few).select("d1", "token"), "d1").join(weighted, ["token", "d2"]).groupBy("d1", "d2").agg(F.sum("w").alias("rest"))
+    scored = met.join(rest, ["d1", "d2"], "left").select("d1", "d2", (F.col("first") + F.coalesce("rest", F.lit(0.0))).alias("bm25"))
     return scored.where(F.col("bm25") > over)
 
 
