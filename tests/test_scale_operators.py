@@ -102,6 +102,10 @@ def test_pruned_bm25_equals_all_pairs(spark):
     for over in (0.5, 6.0, 20.0):
         got = {(r.d1, r.d2): r.bm25 for r in B.bm25_scores(post, post, over=over).collect()}
         assert got == pytest.approx({k: v for k, v in every.items() if v > over}) and len(got) < len(every)
+    grouped = [(k, t, None if n % 3 == 0 else f"g{n % 3}") for n, (k, t) in enumerate(rows)]
+    group = {k: g for k, _, g in grouped}
+    top = B.block_bm25(spark.createDataFrame(grouped, "k string, t string, g string"), "k", "t", 6.0, 1000, "g").collect()
+    assert {(r.d1, r.d2): r.bm25 for r in top} == pytest.approx({(a, b): v for (a, b), v in every.items() if v > 6.0 and group[a] == group[b]}, abs=1e-5)
 
 
 def test_vector_index_recall_and_exactness(spark):

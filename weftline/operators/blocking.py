@@ -136,16 +136,17 @@ def block_graph(edges: DataFrame, src: str = "src", dst: str = "dst", direction:
     return block_collect(ends, "e", {"shared_node": "node"}, "graph_traversal", min_size=min_size, max_size=max_size)
 
 
-def postings(df: DataFrame, key: str, text: str | Column) -> DataFrame:
-    """(doc, token, tf, doc_len) of lower-case runs of ASCII letters and digits."""
+def postings(df: DataFrame, key: str, text: str | Column, same: str | None = None) -> DataFrame:
+    """(doc, same, token, tf, doc_len) of lower-case runs of ASCII letters and digits; same is never null."""
     c = F.col(text) if isinstance(text, str) else text
-    words = df.select(F.col(key).cast("string").alias("doc"), F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))
-    return words.select("doc", F.size("w").alias("doc_len"), F.explode("w").alias("token")).groupBy("doc", "token", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+    group = F.coalesce(F.concat(F.lit("="), F.col(same).cast("string")), F.lit("")) if same else F.lit("")
+    words = df.select(F.col(key).cast("string").alias("doc"), group.alias("same"), F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))
+    return words.select("doc", "same", F.size("w").alias("doc_len"), F.explode("w").alias("token")).groupBy("doc", "same", "token", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25_scores(queries: DataFrame, documents: DataFrame, k1: float = 1.2, b: float = 0.75, over: float = 0.0) -> DataFrame:
-    """(d1, d2, bm25) of postings of queries against postings of documents; each query token counts once. Of scores over ``over``
-    all are listed, and others may be left out.
+    """(d1, d2, bm25) of postings of queries against postings of documents of the same group; each query token counts once. Of scores
+    over ``over`` all are listed, and others may be left out.
 
     Postings meet by token, and very common tokens would bring nearly all documents together. So a query's tokens are taken from
     the least weight up, by the most that a token adds to any document, as long as these sum up to half of ``over`` at most.
@@ -154,19 +155,19 @@ def bm25_scores(queries: DataFrame, documents: DataFrame, k1: float = 1.2, b: fl
     df = documents.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.lit(avg_len)))
-    weighted = documents.join(df, "token").select("token", F.col("doc").alias("d2"), (idf * tf).alias("w"))
-    asked = queries.select(F.col("doc").alias("d1"), "token")
+    weighted = documents.join(df, "token").select("token", "same", F.col("doc").alias("d2"), (idf * tf).alias("w"))
+    asked = queries.select(F.col("doc").alias("d1"), "same", "token")
     if over <= 0:
-        return asked.join(weighted, "token").where("d1 <> d2").groupBy("d1", "d2").agg(F.sum("w").alias("bm25"))
+        return asked.join(weighted, ["token", "same"]).where("d1 <> d2").groupBy("d1", "d2").agg(F.sum("w").alias("bm25"))
     weighted = materialise(weighted, "weights")
     most = weighted.groupBy("token").agg(F.max("w").alias("most"))
     rising = Window.partitionBy("d1").orderBy("most", "token").rowsBetween(Window.unboundedPreceding, 0)
     asked = materialise(asked.join(most, "token").withColumn("sum", F.sum("most").over(rising)), "asked")
     few = F.col("sum") <= over / 2
     common = asked.where(few).groupBy("d1").agg(F.max("sum").alias("left"))
-    met = asked.where(~few).select("d1", "token").join(weighted, "token").where("d1 <> d2").groupBy("d1", "d2").agg(F.sum("w").alias("first"))
+    met = asked.where(~few).select("d1", "same", "token").join(weighted, ["token", "same"]).where("d1 <> d2").groupBy("d1", "d2").agg(F.sum("w").alias("first"))
     met = materialise(met.join(common, "d1", "left").where(F.col("first") + F.coalesce("left", F.lit(0.0)) > over - 1e-9).select("d1", "d2", "first"), "met")
-    rest = met.select("d1", "d2").join(asked.where(few).select("d1", "token"), "d1").join(weighted, ["token", "d2"]).groupBy("d1", "d2").agg(F.sum("w").alias("rest"))
+    rest = met.select("d1", "d2").join(asked.where(few).select("d1", "token"), "d1").join(weighted.drop("same"), ["token", "d2"]).groupBy("d1", "d2").agg(F.sum("w").alias("rest"))
     scored = met.join(rest, ["d1", "d2"], "left").select("d1", "d2", (F.col("first") + F.coalesce("rest", F.lit(0.0))).alias("bm25"))
     return scored.where(F.col("bm25") > over)
 
@@ -178,13 +179,10 @@ def top_k(scored: DataFrame, by: str, score: str, k: int, tie: str) -> DataFrame
 
 
 def block_bm25(df: DataFrame, key: str, text: str | Column, threshold: float = 2.0, limit: int = 20, same: str | None = None) -> DataFrame:
-    """Directed top-k: for each record the others that its tokens rank highest; (d1, d2, bm25, rank). Both directions may occur;
+    """Directed top-k: for each record the others, of equal ``same`` if named, that its tokens rank highest; (d1, d2, bm25, rank). Both directions may occur;
     ``orchestrate`` makes pairs of them."""
-    post = postings(df, key, text)
+    post = postings(df, key, text, same)
     found = bm25_scores(post, post, over=threshold).withColumn("bm25", round_half_up("bm25", 6)).where(F.col("bm25") > threshold)  # rounded before ranks: sums differ in their last digits
-    if same:
-        own = df.select(F.col(key).cast("string").alias("k"), F.col(same).alias("v"))
-        found = found.join(own.select(F.col("k").alias("d1"), F.col("v").alias("v1")), "d1").join(own.select(F.col("k").alias("d2"), F.col("v").alias("v2")), "d2").where(F.col("v1").eqNullSafe(F.col("v2"))).drop("v1", "v2")
     return top_k(found, "d1", "bm25", limit, "d2")
 
 

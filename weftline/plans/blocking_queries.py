@@ -247,20 +247,20 @@ def _(spark, d):
     return slim(B.block_address(p, "s_suppkey", "street", "n_name", "r_name", "zip"))
 
 
-def bm25_sql(rows: str, key: str, least: float) -> str:
-    """(d1, d2, bm25) over ``least``, of all records against all."""
+def bm25_sql(rows: str, key: str, least: float, same: str = "''") -> str:
+    """(d1, d2, bm25) over ``least``, of all records against all of the same group."""
     return f"""
-WITH t AS (SELECT CAST({key} AS VARCHAR) AS doc, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM {rows}),
-p AS (SELECT doc, token, doc_len, count(*) AS tf FROM (SELECT doc, len(w) AS doc_len, unnest(w) AS token FROM t) GROUP BY ALL),
+WITH t AS (SELECT CAST({key} AS VARCHAR) AS doc, {same} AS same, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM {rows}),
+p AS (SELECT doc, same, token, doc_len, count(*) AS tf FROM (SELECT doc, same, len(w) AS doc_len, unnest(w) AS token FROM t) GROUP BY ALL),
 st AS (SELECT count(*) AS n, avg(doc_len) AS avg_len FROM (SELECT DISTINCT doc, doc_len FROM p)),
 df AS (SELECT token, count(*) AS df FROM p GROUP BY token),
 s AS (SELECT a.doc AS d1, b.doc AS d2, {r('sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (b.tf * 2.2 / (b.tf + 1.2 * (0.25 + 0.75 * b.doc_len / avg_len))))', 6)} AS bm25
-  FROM p a JOIN p b USING (token) JOIN df USING (token), st WHERE a.doc <> b.doc GROUP BY 1, 2 HAVING bm25 > {least})"""
+  FROM p a JOIN p b ON a.token = b.token AND a.same IS NOT DISTINCT FROM b.same JOIN df ON df.token = a.token, st WHERE a.doc <> b.doc GROUP BY 1, 2 HAVING bm25 > {least})"""
 
 
-@query("block_bm25", bm25_sql("documents", "doc_id", 300.0) + ", k AS (SELECT *, row_number() OVER (PARTITION BY d1 ORDER BY bm25 DESC, d2) AS rank FROM s) SELECT d1, d2, bm25, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 20")
+@query("block_bm25", bm25_sql("documents", "doc_id", 300.0, "source") + ", k AS (SELECT *, row_number() OVER (PARTITION BY d1 ORDER BY bm25 DESC, d2) AS rank FROM s) SELECT d1, d2, bm25, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 20")
 def _(spark, d):
-    return B.block_bm25(table(spark, d, "documents"), "doc_id", "text", 300.0, 20)
+    return B.block_bm25(table(spark, d, "documents"), "doc_id", "text", 300.0, 20, "source")
 
 
 # the levenshtein of SQL engines may count bytes: other letters are left out on both sides
