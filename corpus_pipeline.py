@@ -26,8 +26,8 @@ BROADCAST_IDS = 1_000_000
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of linked texts stays: one with the smallest doc_id. Texts are linked at a 5-word shingle similarity
-    of 0.8 or more. SimHash can't tell those apart at a radius that tables cover, so the stage has only its name from it."""
+    """One row of each group of linked texts stays: one with the smallest doc_id. SimHash groups are searched for texts with a 5-word
+    shingle similarity of 0.8 or more; such texts that are further apart than its radius are found by MinHash."""
     found = materialise(similar.near_duplicates(docs), "near")
     if found.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         gone = materialise(found.where("doc_id <> component").select("doc_id"), "gone")

@@ -1,4 +1,7 @@
-"""Near-duplicates by exact similarity of shingle sets: candidates by MinHash, confirmed by the sets themselves.
+"""Near-duplicates by exact similarity of shingle sets: candidates by SimHash and MinHash, confirmed by the sets themselves.
+
+SimHash groups come from ``simhash``: fingerprints within 3 bits, by covering tables. Pairs at 0.8 may differ in more bits than
+tables can cover, so MinHash completes the candidates. A group of either is one more bucket.
 
 Two texts are linked when the Jaccard similarity of their sets of 5-word shingles is 0.8 or more. A text gets BANDS keys of
 ROWS minima each; a pair at similarity s shares none with probability (1 - s^4)^32, under 5e-8 at 0.8 and less above. Texts
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..scratch import materialise
+from . import simhash
 from .common import give_back, small_batches
 
 BANDS, ROWS = 32, 4
@@ -143,13 +147,22 @@ def links(members: DataFrame, least: float = 0.8) -> DataFrame:
     return members.groupBy("key").applyInPandas(bucket, "u long, v long").distinct()
 
 
+def simhash_groups(prints: DataFrame, radius: int = 3) -> DataFrame:
+    """(key, id) of prints (id, print): ids whose fingerprints are linked, directly or by others, within the radius; a key a group."""
+    linked = connected_components(simhash.links(prints.select(F.col("print").alias("fp")).distinct(), radius), "u", "v")
+    labelled = prints.join(linked, prints["print"] == linked["node"], "left").select("id", F.xxhash64(F.lit("simhash"), F.coalesce("component", "print")).alias("key"))
+    size = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return labelled.join(size, "key").select("key", "id")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, shingle: int = 5) -> DataFrame:
     """(key, fp, label, component): fp is the id of the row's shingle set, label the same throughout a group, component its
-    smallest key. Ids and band keys are shuffled, and the sets of texts that share a bucket with another."""
+    smallest key. Ids, fingerprints and band keys are shuffled, and the sets of texts that share a bucket with another."""
     texts = docs.select(F.col(key).alias("name"), F.col(text).alias("text"))
-    prints = materialise(with_id(texts, "text", shingle, keys=True).select("name", F.col("s.id").alias("id"), F.col("s.keys").alias("keys")), "prints")
-    distinct = materialise(prints.groupBy("id").agg(F.min("name").alias("least"), F.first("keys").alias("keys")), "distinct")
-    keyed = []
+    prints = simhash.with_fingerprint(with_id(texts, "text", shingle, keys=True), "text", to="print")
+    prints = materialise(prints.select("name", F.col("s.id").alias("id"), F.col("s.keys").alias("keys"), "print"), "prints")
+    distinct = materialise(prints.groupBy("id").agg(F.min("name").alias("least"), F.first("keys").alias("keys"), F.min("print").alias("print")), "distinct")
+    keyed = [materialise(simhash_groups(distinct.select("id", "print")), "grouped")]
     for band in range(1, BANDS + 1, BANDS_AT_ONCE):
         some = distinct.select("id", F.explode(F.slice("keys", band, BANDS_AT_ONCE)).alias("key"))
         size = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")  # most buckets hold one
