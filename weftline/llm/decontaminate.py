@@ -184,7 +184,7 @@ def document_frequencies(docs: DataFrame, text: str, wanted: DataFrame) -> DataF
         yield out()
 
     found = small_batches(docs).select(F.col(text).alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return found if few else found.join(wanted.union(docs.sparkSession.createDataFrame([(b"",)], "word binary")), "word", "left_semi")
+    return found if few else found.join(wanted.union(docs.sparkSession.createDataFrame(pa.table({"word": pa.array([b""], pa.binary())}))), "word", "left_semi")
 
 
 def build(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", answer: str | None = None, k: int = 192, most_terms: int = 1 << 16) -> Iterator[Index]:
@@ -205,7 +205,7 @@ def build(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     def index(vocabulary: dict, rows: list) -> Index:
         known = held
         if not few:
-            here = docs.sparkSession.createDataFrame([(w,) for w in vocabulary], "word binary")
+            here = docs.sparkSession.createDataFrame(pa.table({"word": pa.array(list(vocabulary), pa.binary())}))
             known = {r["word"]: r["n"] for r in frequency.join(here, "word").collect()}
         return _index(docs.sparkSession, vocabulary, rows, np.array([known.get(w, 0) for w in vocabulary]), n, k)
 
@@ -226,7 +226,9 @@ def _index(spark: SparkSession, vocabulary: dict, rows: list, df: np.ndarray, n:
     for _, terms, _ in rows:
         at, tf = np.unique(terms, return_counts=True)
         sparse.append((at.tolist(), (tf * idf[at]).tolist()))
-    matrix = spark.createDataFrame(sparse, "at array<int>, value array<double>").repartition(max(1, min(64, len(sparse) // 256)))
+    # from Arrow: rows of Python objects would start a second set of Python workers, with another environment, in each executor
+    given = pa.table({"at": pa.array([a for a, _ in sparse], pa.list_(pa.int32())), "value": pa.array([v for _, v in sparse], pa.list_(pa.float64()))})
+    matrix = spark.createDataFrame(given, "at array<int>, value array<double>").repartition(max(1, min(64, len(sparse) // 256)))
     vectors, _ = randomised_svd(matrix, len(vocabulary), min(k, len(rows)))
     latent = np.array([np.asarray(v) @ vectors[a] for a, v in sparse])
     answers = []

@@ -85,22 +85,26 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
-def with_id(docs: DataFrame, text: str = "text", shingle: int = 5, keys: bool = False, sets: bool = False, to: str = "s") -> DataFrame:
-    """docs with a struct: the id of the text's shingle set; on request the keys of its bands, or the set as bytes."""
-    kind = "id long" + (", keys array<long>" if keys else "") + (", hashes binary" if sets else "")
+def with_id(docs: DataFrame, text: str = "text", shingle: int = 5, keys: bool = False, sets: bool = False, prints: bool = False, to: str = "s") -> DataFrame:
+    """docs with a struct: the id of the text's shingle set; on request the keys of its bands, the set as bytes, or the text's
+    SimHash fingerprint. All come from one pass: a second Python function in a task is a second Python worker, which stays."""
+    kind = "id long" + (", keys array<long>" if keys else "") + (", hashes binary" if sets else "") + (", print long" if prints else "")
 
     @F.pandas_udf(kind)
     def sketch(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words = _Words()
         for s in parts:
             out: dict[str, list] = {"id": []} | ({"keys": []} if keys else {}) | ({"hashes": []} if sets else {})
-            for x in s:
-                found = shingle_set((x or "").encode(), words, shingle)
+            texts = [(x or "").encode() for x in s]
+            for x in texts:
+                found = shingle_set(x, words, shingle)
                 out["id"].append(set_id(found))
                 if keys:
                     out["keys"].append(_signed(band_keys(found)))
                 if sets:
                     out["hashes"].append(found.tobytes())
+            if prints:
+                out["print"] = _signed(simhash.fingerprints(texts))
             yield pd.DataFrame(out | {"id": _signed(np.array(out["id"], np.uint64))})
         give_back()
 
@@ -159,8 +163,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     """(key, fp, label, component): fp is the id of the row's shingle set, label the same throughout a group, component its
     smallest key. Ids, fingerprints and band keys are shuffled, and the sets of texts that share a bucket with another."""
     texts = docs.select(F.col(key).alias("name"), F.col(text).alias("text"))
-    prints = simhash.with_fingerprint(with_id(texts, "text", shingle, keys=True), "text", to="print")
-    prints = materialise(prints.select("name", F.col("s.id").alias("id"), F.col("s.keys").alias("keys"), "print"), "prints")
+    prints = materialise(with_id(texts, "text", shingle, keys=True, prints=True).select("name", "s.id", "s.keys", "s.print"), "prints")
     distinct = materialise(prints.groupBy("id").agg(F.min("name").alias("least"), F.first("keys").alias("keys"), F.min("print").alias("print")), "distinct")
     keyed = [materialise(simhash_groups(distinct.select("id", "print")), "grouped")]
     for band in range(1, BANDS + 1, BANDS_AT_ONCE):

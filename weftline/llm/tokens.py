@@ -53,7 +53,7 @@ class Tokenizer:
     pieces: bool = True
 
 
-def _spread(flat: np.ndarray, start: np.ndarray, at: np.ndarray, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def _spread(flat: np.ndarray, start: np.ndarray, at: np.ndarray, step: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """flat[start[i] : start[i + 1]] for each i of at, one after the other, and where each begins and the last ends."""
     sizes = np.diff(start)[at]
     ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -187,12 +187,14 @@ def write(docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str
             ids, sizes = worker.ids(rows["text"].combine_chunks())
             keys = rows["key"].combine_chunks()
             del rows
+            give_back()  # the room of words and pieces, before that of coding
             blocks = coder.encode(ids, tokenizer.vocabulary)
             whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             columns = {"part": pa.array([part], pa.int32()), "first": pa.array([first]), "keys": whole(keys), "sizes": whole(pa.array(sizes)), "n": pa.array([len(ids)]), "blocks": whole(pa.array(blocks, pa.binary()))}
             yield pa.RecordBatch.from_pydict(columns)
             first += len(ids)
-        give_back()
+            del ids, sizes, keys, blocks, columns
+            give_back()
 
     schema = f"part int, first long, keys array<{docs.schema[key].dataType.simpleString()}>, sizes array<long>, n long, blocks array<binary>"
     return materialise(dealt.sortWithinPartitions(*by, "text").mapInArrow(encode, schema), "tokens")
